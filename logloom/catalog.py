@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.operators import drift, nested, skewed
+from logloom.operators import drift, layouts, nested, skewed
 from logloom.runtime import table
 
 QUERIES = {}
@@ -38,3 +38,11 @@ SELECT source, seq FROM w WHERE top > ts
 """)
 def p7_found(spark, d):
     return skewed.late_rows(table(spark, d, "loglines")).select("source", "seq")
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    logs = layouts.log_entries(table(spark, d, "loglines"))
+    logs = logs.select(F.lit("loglines").alias("tab"), "source", F.col("seq").alias("first_pos"), F.col("seq").alias("last_pos"), "entry_ms", "level", "component")
+    tail = layouts.tail_entries(table(spark, d, "taillines"))
+    return logs.unionByName(tail.select(F.lit("taillines").alias("tab"), F.col("app").alias("source"), "first_pos", "last_pos", "entry_ms", "level", "component"))

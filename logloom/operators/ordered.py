@@ -68,3 +68,12 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_here"))
     out = out.withColumn("_prev", prev)
     return out.withColumns({f"prev_{v}": F.col(f"_prev.{v}") for v in values} | {"has_prev": F.col("_prev").isNotNull()}).drop("_here", "_rn", "_carry", "_prev", RANGE)
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the greatest ``value`` of the key's rows up to and with this one (nulls skipped)."""
+    w = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged(df, keys, order).withColumn("_local", F.max(value).over(w))
+    tops = local.groupBy(RANGE, *keys).agg(F.max(value).alias("_top"))
+    carry = tops.withColumn("_carry", F.max("_top").over(over_ranges(keys).rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    return join_keys(local, carry, [RANGE, *keys]).withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", RANGE)
