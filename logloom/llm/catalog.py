@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.llm import heavy, runs, terms
+from logloom.llm import heavy, language, mixing, packing, runs, terms, tokens
 from logloom.runtime import table
 
 QUERIES = {}
@@ -73,3 +73,36 @@ def p4_found(spark, d):
 @query("p4_runs")
 def p4_runs(spark, d):
     return runs.runs(table(spark, d, "loglines"))
+
+
+@query("p8_packing")
+def p8_packing(spark, d):
+    sizes = tokens.token_counts(table(spark, d, "documents"), ["doc_id"])
+    return packing.pack(sizes, table(spark, d, "packspecs"))
+
+
+@query("p8_fill")
+def p8_fill(spark, d):
+    return packing.fill(p8_packing(spark, d))
+
+
+@query("p9_mixture")
+def p9_mixture(spark, d):
+    sizes = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
+    return mixing.mixture(sizes, table(spark, d, "mixtargets"))
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    sizes, targets = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mixtargets")
+    return mixing.shares(sizes, targets, mixing.mixture(sizes, targets))
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return language.wrong_or_mixed(table(spark, d, "documents"), table(spark, d, "languages"))
+
+
+@query("p10_languages")
+def p10_languages(spark, d):
+    return language.languages_of(table(spark, d, "documents"), table(spark, d, "languages"))
