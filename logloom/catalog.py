@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom import adapters
+from logloom.functions import jsonpath
+from logloom.functions.text import stems, stop_words, tokens, without_stop_words
 from logloom.operators import drift, layouts, nested, skewed
-from logloom.runtime import table
+from logloom.plans.planner import Request, plan
+from logloom.plans.render import answer
+from logloom.runtime import column_names, cut, shared_dir, table
+from logloom.sources import push, shipper, store
+from logloom.streaming import live
 
 QUERIES = {}
 SQL = {}
@@ -21,28 +28,319 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def logs(spark, d):
+    return table(spark, d, "loglines")
+
+
+def events(spark, d):
+    return adapters.events_as_logs(table(spark, d, "events"))
+
+
+# --- scans and row queries ---
+
+_ORDER = "ORDER BY ts DESC, {rank} ASC, seq DESC"
+
+
+def _plain(df):
+    """Dots in the names of group columns as _."""
+    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+
+
+def _piped(name: str, text: str, sql: str, request: Request = Request(), of=logs):  # noqa: B008
+    query(name, sql)(lambda spark, d: _plain(plan(of(spark, d), text, request)))
+
+
+_piped("scan_all", "", "SELECT ts, raw_data AS entry, source FROM loglines")
+_piped("filter_source", "source=coxlotmet", "SELECT ts, raw_data AS entry, source FROM loglines WHERE source = 'coxlotmet' ORDER BY ts DESC, seq DESC LIMIT 10000")
+_piped(
+    "filter_source_multi", "source=terjundflind_droumoulsairk,coxlotmet,nosuch | limit 500",
+    "SELECT ts, raw_data AS entry, source FROM loglines WHERE source IN ('terjundflind_droumoulsairk', 'coxlotmet') ORDER BY ts DESC, CASE source WHEN 'coxlotmet' THEN 2 ELSE 1 END, seq DESC LIMIT 500",
+)
+_piped("request_sources", "", "SELECT ts, raw_data AS entry, source FROM loglines WHERE source IN ('kube-cutrux', 'zainpir-gateway')", Request(partitions=("kube-cutrux", "zainpir-gateway")))
+_piped("filter_time", "", "SELECT ts, raw_data AS entry, source FROM loglines WHERE ts BETWEEN 1704300000 AND 1704330000", Request(1704300000, 1704330000))
+_piped("tail_newest_limit", "limit 25", "SELECT ts, raw_data AS entry, source FROM loglines ORDER BY ts DESC, source, seq DESC LIMIT 25")
+_piped("head_oldest_limit", "limit 25", "SELECT ts, raw_data AS entry, source FROM loglines ORDER BY ts, source, seq LIMIT 25", Request(forward=True))
+_piped("default_limit", "distance 3", "SELECT ts, raw_data AS entry, source FROM loglines ORDER BY ts DESC, source, seq DESC LIMIT 10000")
+_piped("request_count_offset", "limit 9", "SELECT ts, raw_data AS entry, source FROM loglines ORDER BY ts DESC, source, seq DESC LIMIT 40 OFFSET 10", Request(count=40, offset=10))
+
+
+@query("list_sources", "SELECT DISTINCT source FROM loglines WHERE source IS NOT NULL")
+def list_sources(spark, d):
+    return store.sources(logs(spark, d))
+
+
+# --- fuzzy selection ---
+
+_NEAR = "coalesce(len(list_filter(indexes, lambda t: levenshtein(t, '{v}') <= {d})) > 0, false)"
+_piped("fuzzy_message", 'message = "brokr"', f"SELECT ts, raw_data AS entry, source FROM loglines WHERE {_NEAR.format(v='brokr', d=2)} ORDER BY ts DESC, source, seq DESC LIMIT 10000")
+_piped("fuzzy_distance_1", 'message = "expired" | distance 1', f"SELECT ts, raw_data AS entry, source FROM loglines WHERE {_NEAR.format(v='expired', d=1)} ORDER BY ts DESC, source, seq DESC LIMIT 10000")
+_piped(
+    "structured_select", 'details.message = "broker"',
+    f"SELECT ts, raw_data AS entry, source FROM loglines WHERE list_contains(json_keys, 'details.message') AND {_NEAR.format(v='broker', d=2)} ORDER BY ts DESC, source, seq DESC LIMIT 10000",
+)
+
+
+@query("term_index_lookup", f"SELECT source, seq FROM loglines WHERE {_NEAR.format(v='brokr', d=2)}")
+def term_index_lookup(spark, d):
+    return store.lookup(store.term_index(logs(spark, d)), logs(spark, d), "brokr", 2).select("source", "seq")
+
+
+# --- aggregates ---
+
+_J = "(SELECT *, CASE WHEN json_valid(raw_data) THEN raw_data::JSON END AS j FROM loglines) AS x"
+_EV = "(SELECT *, CASE WHEN json_valid(props) THEN props::JSON END AS p FROM events) AS e"
+_piped("count", "count(level) as n", f"SELECT count(*) AS n FROM {_J} WHERE json_exists(j, '$.level')")
+_piped("count_by", "count(user_id) as n by event_type", "SELECT event_type, count(user_id) AS n FROM events GROUP BY event_type", of=events)
+_piped("count_by_level", "count(msg) as n by level", f"SELECT coalesce(json_extract_string(j, '$.level'), '\"\"') AS level, count(*) AS n FROM {_J} WHERE json_exists(j, '$.msg') GROUP BY 1")
+_piped("count_missing_key", "count(msg) as n by nosuch.key", f"SELECT '\"\"' AS nosuch_key, count(*) AS n FROM {_J} WHERE json_exists(j, '$.msg') HAVING count(*) > 0")
+_piped(
+    "json_dotted_path", "count(kubernetes.labels.app.io/name) as n by kubernetes.labels.lvl",
+    f"SELECT coalesce(json_extract_string(j, '$.kubernetes.labels.lvl'), '\"\"') AS kubernetes_labels_lvl, count(*) AS n FROM {_J} WHERE json_exists(j, '$.kubernetes.labels.\"app.io/name\"') GROUP BY 1",
+)
+_piped("distinct", "distinct(severity)", f"SELECT DISTINCT json_extract_string(j, '$.severity') AS value FROM {_J} WHERE structured AND json_exists(j, '$.severity')")
+_piped("distinct_count", "distinct_count(details.error_code)", f"SELECT json_extract_string(j, '$.details.error_code') AS value, count(*) AS count FROM {_J} WHERE structured AND json_exists(j, '$.details.error_code') GROUP BY 1")
+
+
+def _rounded(name: str, text: str, column: str, sql: str, of=logs):
+    # sums of doubles depend on their order
+    query(name, sql)(lambda spark, d: _plain(plan(of(spark, d), text)).withColumn(column, F.round(column, 6)))
+
+
+_rounded("avg", "avg(latency) as a", "a", f"SELECT round(coalesce(avg(CAST(json_extract_string(j, '$.latency') AS DOUBLE)), 0), 6) AS a FROM {_J} WHERE structured")
+_rounded("avg_by", "avg(latency) as a by severity", "a", f"SELECT json_extract_string(j, '$.severity') AS severity, round(avg(CAST(json_extract_string(j, '$.latency') AS DOUBLE)), 6) AS a FROM {_J} WHERE structured AND json_exists(j, '$.latency') GROUP BY 1")
+_rounded("avg_nested_by", "avg(value) as a by props.k", "a", f"SELECT coalesce(json_extract_string(p, '$.k'), '\"\"') AS props_k, round(avg(value), 6) AS a FROM {_EV} WHERE value IS NOT NULL GROUP BY 1", events)
+_rounded("avg_of_text", "avg(details.error_code) as a by from", "a", f"SELECT coalesce(json_extract_string(j, '$.from'), '\"\"') AS \"from\", round(avg(CAST(json_extract_string(j, '$.details.error_code') AS DOUBLE)), 6) AS a FROM {_J} WHERE structured AND json_exists(j, '$.details.error_code') GROUP BY 1")
+_piped(
+    "combined_pipeline", 'message="expires" | count(level) as n by level',
+    f"SELECT json_extract_string(j, '$.level') AS level, count(*) AS n FROM {_J} WHERE json_exists(j, '$.level') AND {_NEAR.format(v='expires', d=2)} GROUP BY 1",
+)
+
+
+@query("render_json")
+def render_json(spark, d):
+    return spark.createDataFrame([(answer(logs(spark, d), "count(msg) as n by level"),)], "json string")
+
+
+# --- text and keys ---
+
+
+@query("tokenize_terms", "SELECT term, count(*) AS n FROM (SELECT unnest(string_split(raw_data, ' ')) AS term FROM loglines WHERE NOT structured) AS t GROUP BY term")
+def tokenize_terms(spark, d):
+    t = logs(spark, d).where("NOT structured").select(F.explode(tokens(F.col("raw_data"))).alias("term"))
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stopword_terms")
+def stopword_terms(spark, d):
+    t = without_stop_words(tokens(F.col("raw_data")), stop_words(spark))
+    return logs(spark, d).where("NOT structured").select(F.explode(t).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stemmed_terms")
+def stemmed_terms(spark, d):
+    t = stems(without_stop_words(tokens(F.col("raw_data")), stop_words(spark)))
+    return logs(spark, d).where("NOT structured").select(t.alias("t")).select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flatten_keys")
+def flatten_keys(spark, d):
+    x = logs(spark, d).where("structured").select("source", "seq", jsonpath.flatten(F.col("raw_data")).alias("flat"))
+    return x.select("source", "seq", F.explode("flat").alias("key", "leaves")).select("source", "seq", "key", F.size("leaves").alias("n_leaves"))
+
+
+@query("object_keys")
+def object_keys(spark, d):
+    return logs(spark, d).where("structured").select("source", "seq", F.explode(jsonpath.object_keys(F.col("raw_data"))).alias("key"))
+
+
+@query("reindex")
+def reindex(spark, d):
+    return store.reindex(logs(spark, d)).select("source", "seq", F.size("indexes").alias("n_terms"), F.size("json_keys").alias("n_keys"))
+
+
+# --- pushes, store, stream ---
+
+_SEQ = """
+SELECT source, push_id, place - 1 AS place, l.ts AS ts, l.raw_data AS raw_data, row_number() OVER (PARTITION BY source ORDER BY pushed_at, push_id, place) AS seq
+FROM (SELECT source, push_id, pushed_at, unnest(lines) AS l, generate_subscripts(lines, 1) AS place FROM pushes) AS p WHERE l IS NOT NULL
+"""
+
+
+@query("ingest_pushes", _SEQ)
+def ingest_pushes(spark, d):
+    x = push.with_seq(push.lines_of(table(spark, d, "pushes")), ["pushed_at", "push_id", "place"])
+    return x.select("source", "push_id", F.col("place").cast("bigint").alias("place"), "ts", "raw_data", "seq")
+
+
+@query("store_roundtrip", "SELECT source, ts, seq, structured, raw_data FROM loglines")
+def store_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/store-{cut(spark.range(1)).inputFiles()[0].split('logloom-')[-1][:32]}"
+    store.write(logs(spark, d), path)
+    return store.read(spark, path).select("source", "ts", "seq", "structured", "raw_data")
+
+
+_SEGMENTS = """
+SELECT source, CAST(floor((seq - 1) / 400) + 1 AS BIGINT) AS segment_id, arg_min(ts, seq) AS start_ts, arg_max(ts, seq) AS end_ts, min(seq) AS start_seq, max(seq) AS end_seq, count(*) AS n_lines
+FROM loglines GROUP BY 1, 2
+"""
+
+
+@query("segment_catalog", _SEGMENTS)
+def segment_catalog(spark, d):
+    return store.segments(logs(spark, d))
+
+
+@query("retention", f"WITH s AS ({_SEGMENTS}) SELECT s.source, segment_id, end_ts FROM s JOIN sources USING (source) WHERE 1705090000 - end_ts > retention_s")
+def retention(spark, d):
+    s = store.segments(logs(spark, d)).join(table(spark, d, "sources").select("source", "retention_s"), "source")
+    return store.expired(s, 1705090000, F.col("retention_s")).select("source", "segment_id", "end_ts")
+
+
+@query("retained_lines", f"WITH s AS ({_SEGMENTS}) SELECT l.source, l.seq FROM loglines AS l JOIN s ON s.source = l.source AND s.segment_id = floor((l.seq - 1) / 400) + 1 WHERE NOT (1705290000 - end_ts > 864000)")
+def retained_lines(spark, d):
+    return store.retain(logs(spark, d), 1705290000, 864000).select("source", "seq")
+
+
+@query("registry_lookup", "SELECT source, segment_id FROM segments WHERE start_ts <= 1704330000 AND end_ts >= 1704300000")
+def registry_lookup(spark, d):
+    return table(spark, d, "segments").where("start_ts <= 1704330000 AND end_ts >= 1704300000").select("source", "segment_id")
+
+
+@query("stream_tail", "SELECT source AS app, ts, structured, raw_data AS \"inner\" FROM loglines WHERE source IN ('coxlotmet', 'kube-cutrux')")
+def stream_tail(spark, d):
+    name = cut(spark.range(1)).inputFiles()[0].split("logloom-")[-1][:32]
+    out = f"{shared_dir(spark)}/tail-{name}"
+    rows = live.tail(spark, f"{d}/loglines.parquet", ["coxlotmet", "kube-cutrux"])
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+# --- the shipper's parsers ---
+
+
+def _parsed(name: str, f, sql: str):
+    @query(name, sql)
+    def run(spark, d):
+        x = logs(spark, d).where("NOT structured").select("source", "seq", f(F.col("raw_data")).alias("_p")).where("_p IS NOT NULL")
+        return x.select("source", "seq", *[F.col(f"_p.{n}").alias(f"f_{n}") for n in x.schema["_p"].dataType.names])
+
+
+def _extract(pattern: str, names: list[str], where: str) -> str:
+    p = pattern.replace("'", "''")
+    cols = ", ".join(f"regexp_extract(raw_data, '{p}', {i + 1}) AS f_{n}" for i, n in enumerate(names))
+    return f"SELECT source, seq, {cols} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '{where}')"
+
+
+_parsed("klog_parse", shipper.klog, _extract(shipper.KLOG, ["severity", "time", "pid", "source", "message"], shipper.KLOG))
+_parsed("salt_parse", shipper.salt, _extract(shipper.SALT, ["time", "severity", "message"], shipper.SALT))
+_parsed("docker_parse", shipper.docker, _extract(shipper.DOCKER, ["time", "severity", "message", "error", "status_code"], shipper.DOCKER))
+_parsed("syslog_parse", shipper.syslog, _extract(shipper.SYSLOG, ["pri", "time", "host", "ident", "pid", "message"], shipper.SYSLOG))
+_AUDIT = ", ".join(rf"""regexp_extract_all(raw_data, '\s{k}="((?:[^"\\]|\\.)*)"', 1)[-1] AS f_{k}""" for k in shipper.AUDIT_FIELDS)
+_parsed("audit_parse", shipper.audit, rf"SELECT source, seq, regexp_extract(raw_data, '^(\S+) AUDIT:', 1) AS f_time, {_AUDIT} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '^\S+ AUDIT:')")
+
+
+@query("container_parse")
+def container_parse(spark, d):
+    x = logs(spark, d).where("structured").select("source", "seq", shipper.container(F.col("raw_data")).alias("p")).where("p.log IS NOT NULL")
+    return x.select("source", "seq", "p.log", "p.stream")
+
+
+@query("route_records")
+def route_records(spark, d):
+    return shipper.routed(logs(spark, d).where("structured"), "raw_data", F.col("ts"), stop_words(spark)).select("source", "ts", F.size("indexes").alias("n_terms"), F.size("json_keys").alias("n_keys"))
+
+
+@query("multiline_group", r"""
+WITH t AS (SELECT DISTINCT app, line_no, "inner" FROM taillines), s AS (SELECT *, max(CASE WHEN regexp_matches("inner", '^\w\d{4}') THEN line_no END) OVER (PARTITION BY app ORDER BY line_no) AS first FROM t)
+SELECT app, first, string_agg("inner", chr(10) ORDER BY line_no) AS "inner" FROM s WHERE first IS NOT NULL GROUP BY app, first
+""")
+def multiline_group(spark, d):
+    lines = table(spark, d, "taillines").select("app", "line_no", "inner").distinct()
+    return shipper.multiline(lines, ["app"], "line_no", "inner", shipper.KLOG_FIRST)
+
+
+# --- problems 2, 5, 6 and 7 ---
+
+
 @query("p2_found")
 def p2_found(spark, d):
-    lines = table(spark, d, "loglines").where("structured")
+    lines = logs(spark, d).where("structured")
     return nested.nested_objects(lines, "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")
 
 
+@query("p2_schema")
+def p2_schema(spark, d):
+    return nested.merged_schema(logs(spark, d).where("structured"), F.col("raw_data"))
+
+
+@query("p2_containers")
+def p2_containers(spark, d):
+    return nested.child_tables(logs(spark, d).where("structured"), "raw_data", ["source", "seq"])["/spec/containers/*"]
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    rows = layouts.log_entries(logs(spark, d))
+    rows = rows.select(F.lit("loglines").alias("tab"), "source", F.col("seq").alias("first_pos"), F.col("seq").alias("last_pos"), "entry_ms", "level", "component")
+    tail = layouts.tail_entries(table(spark, d, "taillines"))
+    return rows.unionByName(tail.select(F.lit("taillines").alias("tab"), F.col("app").alias("source"), "first_pos", "last_pos", "entry_ms", "level", "component"))
+
+
+@query("p5_log_entries")
+def p5_log_entries(spark, d):
+    return layouts.log_entries(logs(spark, d))
+
+
+@query("p5_tail_entries")
+def p5_tail_entries(spark, d):
+    return layouts.tail_entries(table(spark, d, "taillines"), with_message=True)
+
+
+@query("p5_templates")
+def p5_templates(spark, d):
+    lines = logs(spark, d).where("NOT structured").select(layouts.first_line(F.col("raw_data")).alias("line"))
+    return layouts.templates(layouts.leaves(lines))
+
+
 @query("p6_found")
 def p6_found(spark, d):
     return drift.changes(table(spark, d, "pushes"))
 
 
+@query("p6_statistics")
+def p6_statistics(spark, d):
+    return drift.path_stats(table(spark, d, "pushes")).drop("words")
+
+
+@query("p6_consistent_rows")
+def p6_consistent_rows(spark, d):
+    # the wide table of every path, here back in rows of path and value
+    pushes = table(spark, d, "pushes")
+    types = drift.column_types(pushes)
+    wide = drift.consistent_table(pushes, types)
+    names = column_names([p for p, _ in types])
+    cells = F.array(*[F.struct(F.lit(p).alias("path"), F.col(c).cast("string").alias("value")) for p, c in names.items()])
+    x = wide.select("source", "push_id", "ts", F.explode(F.filter(cells, lambda s: s["value"].isNotNull())).alias("c"))
+    return x.select("source", "push_id", "ts", "c.path", "c.value")
+
+
+@query("p6_failed_casts")
+def p6_failed_casts(spark, d):
+    return drift.failed_casts(table(spark, d, "pushes"))
+
+
 @query("p7_found", """
 WITH w AS (SELECT source, seq, ts, max(ts) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM loglines)
 SELECT source, seq FROM w WHERE top > ts
 """)
 def p7_found(spark, d):
-    return skewed.late_rows(table(spark, d, "loglines")).select("source", "seq")
+    return skewed.late_rows(logs(spark, d)).select("source", "seq")
 
 
-@query("p5_found")
-def p5_found(spark, d):
-    logs = layouts.log_entries(table(spark, d, "loglines"))
-    logs = logs.select(F.lit("loglines").alias("tab"), "source", F.col("seq").alias("first_pos"), F.col("seq").alias("last_pos"), "entry_ms", "level", "component")
-    tail = layouts.tail_entries(table(spark, d, "taillines"))
-    return logs.unionByName(tail.select(F.lit("taillines").alias("tab"), F.col("app").alias("source"), "first_pos", "last_pos", "entry_ms", "level", "component"))
+@query("p7_totals", """
+WITH w AS (SELECT source, ts, max(ts) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM loglines)
+SELECT source, count(*) AS n_late, CAST(sum(top - ts) AS BIGINT) AS behind_s FROM w WHERE top > ts GROUP BY source
+""")
+def p7_totals(spark, d):
+    late = skewed.late_rows(logs(spark, d))
+    return skewed.key_totals(late, "source", "behind").select("source", F.col("n").alias("n_late"), F.col("total").alias("behind_s"))

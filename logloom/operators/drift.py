@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.nested import parse
 from logloom.operators.ordered import previous
+from logloom.runtime import column_names, cut
 
 #: Distinct words of a field's values that are kept per file, those of least hash.
 SKETCH = 64
@@ -64,7 +65,7 @@ def _values(v) -> Iterator[tuple[str | None, float | None]]:
                     yield x, None
 
 
-STATS = "source string, push_id bigint, path string, kind string, n bigint, words array<string>, least double, most double"
+STATS = "source string, push_id string, path string, kind string, n bigint, words array<string>, least double, most double"
 
 
 def _least(words: set[str]) -> list[str]:
@@ -106,8 +107,9 @@ def push_lines(pushes: DataFrame) -> DataFrame:
 def path_stats(pushes: DataFrame) -> DataFrame:
     """(source, push_id, path, kind, n, words, least, most): per file and path, how many values of
     which type there are, a sketch of their words and id prefixes, and their range of numbers."""
-    lines = push_lines(pushes).select("source", "push_id", "raw_data")
-    parts = lines.mapInPandas(_load, STATS)
+    # ids pass through pandas as text, which keeps nulls and large numbers
+    lines = push_lines(pushes).select("source", F.col("push_id").cast("string").alias("push_id"), "raw_data")
+    parts = lines.mapInPandas(_load, STATS).withColumn("push_id", F.col("push_id").cast("bigint"))
     return parts.groupBy("source", "push_id", "path", "kind").agg(
         F.sum("n").alias("n"), F.flatten(F.collect_set("words")).alias("words"), F.min("least").alias("least"), F.max("most").alias("most")
     ).withColumn("words", F.slice(F.transform(F.array_sort(F.transform(F.array_distinct("words"), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s.w), 1, SKETCH))
@@ -188,8 +190,6 @@ def changes(pushes: DataFrame) -> DataFrame:
     both = now.withColumnRenamed("_x", "_new").join(then.withColumnRenamed("_x", "_old"), ["_s", "push_id", "path"], "full")
     source = F.when(F.col("_s") != "\x00", F.col("_s"))
     same = F.col("_new").isNotNull() & F.col("_old").isNotNull()
-    from logloom.runtime import cut
-
     both = cut(both.where(~same | (F.col("_new.kind") != F.col("_old.kind"))))
     retyped = both.where(same).select(source.alias("source"), "push_id", F.lit("retyped").alias("change_kind"), F.col("path").alias("field_before"), F.col("path").alias("field_after"))
     side = F.when(F.col("_new").isNotNull(), "added").otherwise("removed")
@@ -218,15 +218,15 @@ def _maps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fields = None
             if isinstance(value, dict):
                 fields = {p: v if isinstance(v, str) else json.dumps(v) for p, v in flatten(value)}
-            out.append((source, push, ts, fields is not None, list((fields or {}).items())))
+            out.append((source, push, ts, fields is not None, fields or {}))
         yield pd.DataFrame(out, columns=["source", "push_id", "ts", "valid", "fields"])
 
 
 def path_maps(pushes: DataFrame) -> DataFrame:
     """(source, push_id, ts, valid, fields map<path, text>): one row per line, every line kept."""
-    lines = push_lines(pushes).select("source", "push_id", F.col("ts").cast("double").alias("ts"), "raw_data")
-    rows = lines.mapInPandas(_maps, "source string, push_id bigint, ts double, valid boolean, fields map<string,string>")
-    return rows.withColumn("ts", F.col("ts").cast("bigint"))
+    lines = push_lines(pushes).select("source", *[F.col(c).cast("string").alias(c) for c in ("push_id", "ts")], "raw_data")
+    rows = lines.mapInPandas(_maps, "source string, push_id string, ts string, valid boolean, fields map<string,string>")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("push_id", "ts")})
 
 
 def consistent_table(pushes: DataFrame, types: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -234,10 +234,11 @@ def consistent_table(pushes: DataFrame, types: list[tuple[str, str]] | None = No
     the merged schema, and ``failed``: the paths whose value could not be cast (column null then)."""
     types = column_types(pushes) if types is None else types
     rows = path_maps(pushes)
-    casts = {p: F.expr(f"try_cast(fields[{json.dumps(p)}] AS {t})") for p, t in types}
+    names = column_names([p for p, _ in types])
+    casts = {p: F.col("fields")[p].try_cast(t) for p, t in types}
     failed = [F.when(F.col("fields")[p].isNotNull() & c.isNull(), F.lit(p)) for p, c in casts.items()]
     report = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    return rows.select("source", "push_id", "ts", "valid", *[c.alias(f"f_{p}") for p, c in casts.items()], report.alias("failed"))
+    return rows.select("source", "push_id", "ts", "valid", *[c.alias(names[p]) for p, c in casts.items()], report.alias("failed"))
 
 
 def failed_casts(pushes: DataFrame) -> DataFrame:

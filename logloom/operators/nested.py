@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.runtime import cut
+from logloom.runtime import column_names, cut
 
 NODES = "_line string, path string, pointer string, parent string, ordinal bigint, fields string"
 
@@ -161,7 +161,8 @@ def child_tables(df: DataFrame, body: str, keys: list[str]) -> dict[str, DataFra
     for path, own in fields.items():
         raw = F.from_json("fields", F.lit("map<string,string>"))
         t = nodes.where(F.col("path") == path).withColumn("_f", raw)
-        typed = [F.expr(f"try_cast(_f[{_quote(name)}] AS {_column_type(kinds)})").alias(f"f_{name}") for name, kinds in sorted(own.items())]
+        names = column_names(sorted(own))
+        typed = [F.expr(f"try_cast(_f[{_quote(f)}] AS {_column_type(own[f])})").alias(name) for f, name in names.items()]
         out[path] = t.select(*keys, "pointer", "parent", "ordinal", *typed)
     return out
 

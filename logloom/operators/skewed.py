@@ -21,25 +21,40 @@ from logloom.operators.ordered import join_keys
 BLOCK = 1 << 16
 #: Blocks per array.
 WIDTH = 256
+#: Arrays that a split holds before it hands them on.
+ARRAYS = 4096
 
 
 def _blocks(parts: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """The dense arrays of one split: the greatest value per block, WIDTH blocks an array."""
     none = np.iinfo(np.int64).min
+    arrays: dict[tuple, np.ndarray] = {}
+
+    def out() -> pd.DataFrame:
+        keys = list(arrays)
+        got = pd.DataFrame({"_key": [k for k, _ in keys], "_row": [r for _, r in keys], "_top": [arrays[k] for k in keys]})
+        arrays.clear()
+        return got
+
     for pdf in parts:
         if pdf.empty:
             continue
         codes, names = pd.factorize(pdf["_key"], use_na_sentinel=False)
         at = pdf["_order"].to_numpy(np.int64) // block
         row, col = at // WIDTH, at % WIDTH
-        cell = pd.DataFrame({"c": codes, "r": row})
-        cells, first = pd.factorize(pd.MultiIndex.from_frame(cell))
+        cells, first = pd.factorize(pd.MultiIndex.from_arrays([codes, row]))
         top = np.full((len(first), WIDTH), none, np.int64)
         np.maximum.at(top, (cells, col), pdf["_value"].to_numpy(np.int64))
-        yield pd.DataFrame({
-            "_key": [names[c] if isinstance(names[c], str) else None for c, _ in first],
-            "_row": [int(r) for _, r in first],
-            "_top": list(top),
-        })
+        for (c, r), t in zip(first, top, strict=True):
+            key = (names[c] if isinstance(names[c], str) else None, int(r))
+            if key in arrays:
+                np.maximum(arrays[key], t, out=arrays[key])
+            else:
+                arrays[key] = t.copy()
+        if len(arrays) > ARRAYS:
+            yield out()
+    if arrays:
+        yield out()
 
 
 def block_maxima(df: DataFrame, key: str, order: str, value: str, block: int = BLOCK) -> DataFrame:
