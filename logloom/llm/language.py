@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: common function words by language code, diacritics removed
@@ -259,7 +259,7 @@ def _cells(docs: DataFrame, *more: str) -> DataFrame:
     """The columns that the field reads: text and where its text cells lie."""
     own = F.filter("cells", lambda c: (c["kind"] == "text") & c["char_from"].isNotNull() & c["char_len"].isNotNull())
     part = lambda k: F.transform(own, lambda c: F.coalesce(c[k], F.lit(-1)).cast("bigint")).alias(f"_{k}")
-    return docs.where((F.size(own) > 0) & F.col("text").isNotNull()).select("doc_id", "text", *more, part("cell_no"), part("char_from"), part("char_len"))
+    return docs.where((F.size(own) > 0) & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more, part("cell_no"), part("char_from"), part("char_len"))
 
 
 def sample(docs: DataFrame, names: dict[str, str], per_label: int = PER_LABEL) -> list[tuple[str, list[list[str]]]]:
@@ -280,7 +280,7 @@ def sample(docs: DataFrame, names: dict[str, str], per_label: int = PER_LABEL) -
     return out
 
 
-SCHEMA = "doc_id bigint, cell_no bigint, para_no bigint, lang string, confidence double, n_words bigint, n_letters bigint"
+SCHEMA = "doc_id string, cell_no bigint, para_no bigint, lang string, confidence double, n_words bigint, n_letters bigint"
 
 
 def _label(field: Field, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,6 +319,11 @@ def _label(field: Field, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(out, columns=["doc_id", "cell_no", "para_no", "lang", "confidence", "n_words", "n_letters"])
 
 
+def _ids_as(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ids passed through pandas as text, which keeps nulls and large numbers, in their own type."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(dict(docs.select("doc_id").dtypes)["doc_id"]))
+
+
 def languages_of(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, cell_no, para_no, lang, confidence, n_words, n_letters): per document with words in
     its text cells one row with cell_no = para_no = -1, and per paragraph of a mixed one a row.
@@ -331,18 +336,8 @@ def languages_of(docs: DataFrame, languages: DataFrame, per_label: int = PER_LAB
     field = train(sample(docs, names, per_label))
     rows = _cells(docs)
     if field is None:
-        return rows.sparkSession.createDataFrame([], SCHEMA)
-    return rows.mapInPandas(lambda it: _label(field, it), SCHEMA)
-
-
-def named(lang: Column, names: dict[str, str]) -> Column:
-    """The code that a label names, null if none."""
-
-    @F.pandas_udf("string")
-    def code(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: code_of(x, names) if isinstance(x, str) else None)
-
-    return code(lang)
+        return _ids_as(rows.sparkSession.createDataFrame([], SCHEMA), docs)
+    return _ids_as(rows.mapInPandas(lambda it: _label(field, it), SCHEMA), docs)
 
 
 def wrong_or_mixed(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
@@ -351,9 +346,9 @@ def wrong_or_mixed(docs: DataFrame, languages: DataFrame, per_label: int = PER_L
     names = spellings([(r.lang, r.name) for r in languages.where("lang IS NOT NULL").limit(1000).collect()])
     field = train(sample(docs, names, per_label))
     rows = _cells(docs, "lang")
-    schema = "doc_id bigint, cell_no bigint, para_no bigint, lang string"
+    schema = "doc_id string, cell_no bigint, para_no bigint, lang string"
     if field is None:
-        return rows.sparkSession.createDataFrame([], schema)
+        return _ids_as(rows.sparkSession.createDataFrame([], schema), docs)
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -368,4 +363,4 @@ def wrong_or_mixed(docs: DataFrame, languages: DataFrame, per_label: int = PER_L
                 both = pd.concat([wrong, other])[["doc_id", "cell_no", "para_no", "lang"]]
                 yield both.assign(doc_id=[ids[i] for i in both["doc_id"]])
 
-    return rows.mapInPandas(find, schema)
+    return _ids_as(rows.mapInPandas(find, schema), docs)

@@ -23,7 +23,7 @@ WINDOWS = 128
 BUCKET = 50_000
 #: A window left open at the end is emitted rather than taken apart from this fill on.
 FULL = 0.995
-OUT = "pack_id bigint, capacity bigint, row bigint, doc_id bigint, piece_no bigint, n_tokens bigint, container_no bigint, container_tokens bigint, open boolean"
+OUT = "pack_id bigint, capacity bigint, row bigint, doc_id string, piece_no bigint, n_tokens bigint, container_no bigint, container_tokens bigint, open boolean"
 
 
 class Windows:
@@ -98,7 +98,8 @@ def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFram
     spec = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("pack_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in known])
     if not known:
         spec = F.array().cast("array<struct<pack_id:bigint,capacity:bigint>>")
-    all_of = sizes.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("_n"), F.explode(spec).alias("_s")).select("_s.*", "row", "doc_id", "_n")
+    kind = dict(sizes.dtypes)["doc_id"]  # ids pass through pandas as text, which keeps nulls and large numbers
+    all_of = sizes.select("row", F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("_n"), F.explode(spec).alias("_s")).select("_s.*", "row", "doc_id", "_n")
     whole = F.floor(F.col("_n") / F.col("capacity")).cast("bigint")
     full = all_of.where(whole > 0).select("pack_id", "capacity", "row", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece_no"), F.col("capacity").alias("n_tokens"))
     # containers of one piece: numbered by the item, apart from those of the rounds by the sign
@@ -113,7 +114,7 @@ def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFram
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("pack_id", "doc_id", "piece_no", "n_tokens", "container_no", "container_tokens", F.col("capacity").alias("capacity_tokens"))
+    return out.select("pack_id", F.col("doc_id").cast(kind).alias("doc_id"), "piece_no", "n_tokens", "container_no", "container_tokens", F.col("capacity").alias("capacity_tokens"))
 
 
 def fill(packed: DataFrame) -> DataFrame:

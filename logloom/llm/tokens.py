@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +32,13 @@ def token_counts(docs: DataFrame, columns: list[str], text: str = "text", path:
     0 tokens; whole texts are counted, however long.
     """
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for pdf in parts:
-            pdf["n_tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf.pop("_text")]
-            yield pdf
+        for b in batches:
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("_text").to_pylist()]
+            kept = [name for name in b.schema.names if name != "_text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(name) for name in kept), pa.array(n, pa.int64())], names=[*kept, "n_tokens"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), *columns, F.col(text).alias("_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text") + ", n_tokens bigint"
-    return cut(rows.mapInPandas(count, schema))
+    return cut(rows.mapInArrow(count, schema))
