@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: More segments than this would make an expression of more than 2^7 branches.
 MOST_SEGMENTS = 8
@@ -85,6 +87,9 @@ def flatten_pairs(value: dict) -> Iterator[tuple[str, list[str]]]:
     """(dotted key, leaves as text) of an object; an array gives all its leaves to its own key."""
 
     def text(x) -> str:
+        if isinstance(x, float) and x == x and abs(x) != float("inf"):
+            plain = format(Decimal(repr(x)), "f")
+            return plain.rstrip("0").rstrip(".") if "." in plain else plain
         return x if isinstance(x, str) else json.dumps(x)
 
     def leaves(x, key: str, out: dict[str, list[str]]) -> None:
@@ -92,7 +97,6 @@ def flatten_pairs(value: dict) -> Iterator[tuple[str, list[str]]]:
             for k, y in x.items():
                 leaves(y, f"{key}.{k}" if key else k, out)
         elif isinstance(x, list):
-            out.setdefault(key, [])
             for y in x:
                 leaves(y, key, out)
         else:
@@ -103,7 +107,7 @@ def flatten_pairs(value: dict) -> Iterator[tuple[str, list[str]]]:
     yield from out.items()
 
 
-@F.pandas_udf("map<string,array<string>>")
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def flatten(raw: pd.Series) -> pd.Series:
     """Dotted keys to their leaves for a JSON object; null for anything else."""
 
@@ -122,7 +126,7 @@ def object_keys(raw: Column) -> Column:
     return _keys(raw)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _keys(raw: pd.Series) -> pd.Series:
     def walk(d, pre=""):
         for k, v in d.items():

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tokens(text: Column) -> Column:
@@ -139,7 +140,7 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(terms: pd.Series) -> pd.Series:
     """The stems of an array of terms, by batch; null stays null."""
     known: dict[str, str] = {}

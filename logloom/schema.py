@@ -20,7 +20,7 @@ LINE = T.StructType(
 #: A pushed line, and the body of a push: every field is mandatory.
 PUSHED = T.StructType([f for f in LINE.fields if f.name not in ("source", "seq")])
 PUSH = T.StructType([T.StructField("source", T.StringType(), False), T.StructField("lines", T.ArrayType(PUSHED, False), False)])
-COLUMNS = LINE.names
+COLUMNS = tuple(LINE.names)
 
 
 def conform(df: DataFrame) -> DataFrame:

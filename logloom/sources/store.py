@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.schema import COLUMNS, LINE
 from logloom.sources.push import checked, derived, with_seq
@@ -27,7 +28,7 @@ def write(lines: DataFrame, path: str, mode: str = "append") -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The stored lines with event_date, by which time ranges prune directories. Source names stay text."""
-    return spark.read.schema(LINE.add("event_date", "date")).parquet(path).select(*COLUMNS, "event_date")
+    return spark.read.schema(T.StructType([*LINE.fields, T.StructField("event_date", T.DateType())])).parquet(path).select(*COLUMNS, "event_date")
 
 
 def ingest(lines: DataFrame, path: str, order: list[str], index: bool = True) -> None:
