@@ -36,7 +36,7 @@ def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFra
     t = t.withColumn("take", F.least("want", F.coalesce(F.col("supply") * F.greatest(F.col("max_repeats"), F.lit(0)), F.lit(0)).cast("double")))
     used = F.when(F.col("take") > 0, F.col("take") / (F.col("supply") * F.col("max_repeats"))).otherwise(0.0)
     mix = Window.partitionBy("mix_id")
-    mean = F.sum(used * F.col("take")).over(mix) / F.sum("take").over(mix)
+    mean = F.try_divide(F.sum(used * F.col("take")).over(mix), F.sum("take").over(mix))
     t = t.withColumn("all_take", F.sum("take").over(mix))
     return t.withColumn("a", tilt * (used - F.coalesce(mean, F.lit(0.0))))
 
