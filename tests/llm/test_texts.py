@@ -86,12 +86,12 @@ def test_mixing(spark):
     sources = {i: "big" if i < 700 else "small" if i < 730 else None if i < 750 else "mid" for i in range(1000)}
     sizes = [rng.randrange(1, 200) for _ in range(1000)]
     df = sizes_of(spark, sizes, sources).withColumn("doc_id", F.col("row"))
-    targets = spark.createDataFrame([(1, "big", 0.5, 1, 0.4), (1, "small", 0.1, 4, 0.4), (1, "mid", 0.3, 2, 0.4), (1, "absent", 0.1, 2, 0.4), (2, "small", 1.0, 3, 0.5), (3, "big", None, 1, 0.1)], TARGETS)
+    targets = spark.createDataFrame([(1, "big", 0.5, 1, 0.4), (1, "small", 0.1, 2, 0.4), (1, "mid", 0.3, 2, 0.4), (1, "absent", 0.1, 2, 0.4), (2, "small", 1.0, 3, 0.5), (3, "big", None, 1, 0.1)], TARGETS)
     drawn = mixing.mixture(df, targets)
     got = {(r.mix_id, r.source): r for r in mixing.shares(df, targets, drawn).collect()}
     total = sum(sizes)
     supply = {s: sum(n for i, n in enumerate(sizes) if sources[i] == s) for s in ("big", "small", "mid")}
-    for s, share, most in (("big", 0.5, 1), ("small", 0.1, 4), ("mid", 0.3, 2)):
+    for s, share, most in (("big", 0.5, 1), ("small", 0.1, 2), ("mid", 0.3, 2)):
         want = min(share * 0.4 * total, supply[s] * most)
         assert abs(got[(1, s)].tokens - want) <= 200 and got[(1, s)].most_repeats <= most
     assert got[(1, "absent")].tokens == 0 and got[(1, "absent")].short and got[(3, "big")].tokens == 0
