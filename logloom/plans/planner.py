@@ -78,7 +78,8 @@ def aggregated(lines: DataFrame, q: Query) -> DataFrame:
     a = q.aggregate
     if a.kind != "count":
         lines = lines.where("structured")
-    x = lines.select(jsonpath.body(F.col("raw_data")).alias("_b"))
+    # the generator keeps filters on what the text holds from parsing it once more
+    x = lines.select(F.explode(F.array(jsonpath.body(F.col("raw_data")))).alias("_b"))
     at = jsonpath.resolve(F.col("_b"), a.key)
     if a.kind in ("distinct", "distinct_count"):
         v = x.select(jsonpath.scalar_text(at).alias("value")).where("value IS NOT NULL")
