@@ -2,8 +2,8 @@
 
 Items are spread over buckets of about equal size. Each bucket keeps a fixed number of open
 windows, places every item best-fit, and emits the fullest window when none fits. What is open
-at the end is taken apart and packed again over fewer buckets, until one bucket of bounded size
-closes the rest. An item larger than a container fills containers of its own; its remainder is
+at the end is taken apart and packed again over at most half the buckets, until one closes the
+rest; it is as large as its buckets' open windows. An item larger than a container fills containers of its own; its remainder is
 an item like any other.
 """
 
@@ -65,9 +65,9 @@ def pack_bucket(sizes: list[int], capacity: int, windows: int, last: bool) -> tu
     return of, used, opened
 
 
-def _round(items: DataFrame, number: int, windows: int) -> tuple[DataFrame, bool]:
+def _round(items: DataFrame, number: int, windows: int, most: int) -> tuple[DataFrame, int]:
     n = items.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-n // BUCKET))
+    buckets = min(most, max(1, -(-n // BUCKET)))
     last = buckets == 1
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +80,7 @@ def _round(items: DataFrame, number: int, windows: int) -> tuple[DataFrame, bool
 
     h = F.xxhash64("row", F.lit(number))
     keyed = items.withColumn("_h", h).withColumn("_b", F.pmod(h, F.lit(buckets)))
-    return cut(keyed.groupBy("pack_id", "_b").applyInPandas(pack, OUT)), last
+    return cut(keyed.groupBy("pack_id", "_b").applyInPandas(pack, OUT)), buckets
 
 
 def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFrame:
@@ -106,9 +106,11 @@ def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFram
     full = full.select("*", (-(F.monotonically_increasing_id() + 1)).alias("container_no"), F.col("n_tokens").alias("container_tokens"), F.lit(False).alias("open"))
     rest = F.col("_n") - whole * F.col("capacity")
     items = all_of.where((rest > 0) | (F.col("_n") == 0)).select("pack_id", "capacity", "row", "doc_id", whole.alias("piece_no"), rest.alias("n_tokens"))
-    done, number, last = [full], 0, False
-    while not last:
-        packed, last = _round(items, number, windows)
+    done, number, buckets = [full], 0, 1 << 27
+    while buckets:
+        # at most half the buckets of the round before, also where containers are larger than buckets
+        packed, buckets = _round(items, number, windows, buckets)
+        buckets //= 2
         done.append(packed.where("NOT open"))
         items, number = packed.where("open").drop("container_no", "container_tokens", "open"), number + 1
     out = done[0]

@@ -203,3 +203,10 @@ def test_forward_backward_matches_enumeration():
     p /= p.sum(1, keepdims=True)
     got = f.posteriors([ids, ids[:1]])
     assert np.allclose(got[0], p, atol=1e-4) and np.allclose(got[1].sum(1), 1, atol=1e-5)
+
+
+def test_containers_larger_than_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 10)
+    df = sizes_of(spark, [5] * 200)
+    got = packing.pack(df, spark.createDataFrame([(1, 10**9)], SPECS)).collect()
+    assert len({r.container_no for r in got}) == 1 and {r.container_tokens for r in got} == {1000}
