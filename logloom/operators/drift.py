@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.nested import parse
@@ -21,6 +21,8 @@ from logloom.runtime import column_names, cut
 
 #: Distinct words of a field's values that are kept per file, those of least hash.
 SKETCH = 64
+#: Changed fields per bucket that are paired at a time, about.
+PAIRED = 5_000
 ID = re.compile(r"^([A-Za-z]+[-_])[0-9A-Fa-f-]*\d[0-9A-Fa-f-]*$")
 
 
@@ -151,22 +153,25 @@ CHANGES = "source string, push_id bigint, change_kind string, field_before strin
 
 
 def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    gone, new = pdf[pdf["side"] == "removed"].to_dict("records"), pdf[pdf["side"] == "added"].to_dict("records")
-    fits = []
-    for i, a in enumerate(gone):
-        for j, b in enumerate(new):
-            if a["kind"] == b["kind"] and (score := alike(a["kind"], a, b)) >= 0.5:
-                name = len(_words_of(a["path"]) & _words_of(b["path"])) > 0
-                fits.append((-(score + name), a["path"], b["path"], i, j))
-    used_i, used_j, out = set(), set(), []
-    head = (pdf["source"].iloc[0], pdf["push_id"].iloc[0])
-    for _, before, after, i, j in sorted(fits):
-        if i not in used_i and j not in used_j:
-            used_i.add(i)
-            used_j.add(j)
-            out.append((*head, "renamed", before, after))
-    out += [(*head, "removed", a["path"], "") for i, a in enumerate(gone) if i not in used_i]
-    out += [(*head, "added", "", b["path"]) for j, b in enumerate(new) if j not in used_j]
+    """The rows of some pushes, each with its fields gone and new of one type, best fits first."""
+    out = []
+    for _, own in pdf.groupby(["_s", "push_id", "kind"], sort=False):
+        gone, new = own[own["side"] == "removed"].to_dict("records"), own[own["side"] == "added"].to_dict("records")
+        fits = []
+        for i, x in enumerate(gone):
+            for j, y in enumerate(new):
+                if (score := alike(x["kind"], x, y)) >= 0.5:
+                    name = len(_words_of(x["path"]) & _words_of(y["path"])) > 0
+                    fits.append((-(score + name), x["path"], y["path"], i, j))
+        used_i, used_j = set(), set()
+        head = ((gone or new)[0]["source"], (gone or new)[0]["push_id"])
+        for _, before, after, i, j in sorted(fits):
+            if i not in used_i and j not in used_j:
+                used_i.add(i)
+                used_j.add(j)
+                out.append((*head, "renamed", before, after))
+        out += [(*head, "removed", x["path"], "") for i, x in enumerate(gone) if i not in used_i]
+        out += [(*head, "added", "", y["path"]) for j, y in enumerate(new) if j not in used_j]
     return pd.DataFrame(out, columns=["source", "push_id", "change_kind", "field_before", "field_after"])
 
 
@@ -195,8 +200,16 @@ def changes(pushes: DataFrame) -> DataFrame:
     side = F.when(F.col("_new").isNotNull(), "added").otherwise("removed")
     x = F.coalesce("_new", "_old")
     single = both.where(~same).select("_s", source.alias("source"), "push_id", "path", side.alias("side"), x["kind"].alias("kind"), x["words"].alias("words"), x["least"].alias("least"), x["most"].alias("most"))
-    # a group holds the fields that one push gains and loses: as many as its schema has, at most
-    paired = single.groupBy("_s", "push_id").applyInPandas(_pair, CHANGES)
+    # only where a push both loses and gains fields of one type is there anything to pair
+    per = Window.partitionBy("_s", "push_id", "kind")
+    single = single.withColumn("_both", F.size(F.collect_set("side").over(per)) == 2)
+    plain = single.where("NOT _both").select(
+        "source", "push_id", F.col("side").alias("change_kind"), F.when(F.col("side") == "removed", F.col("path")).otherwise("").alias("field_before"), F.when(F.col("side") == "added", F.col("path")).otherwise("").alias("field_after")
+    )
+    # a bucket of pushes at a time; what one push gains and loses is as much as its schema has, at most
+    n = both.count()
+    bucket = F.pmod(F.xxhash64("_s", "push_id"), F.lit(max(1, -(-n // PAIRED))))
+    paired = single.where("_both").drop("_both").withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(lambda pdf: _pair(pdf), CHANGES).unionByName(plain)
     return retyped.unionByName(paired)
 
 
