@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from logloom.plans.planner import Request
 from logloom.plans.render import answer
+from logloom.server import server
 from logloom.sources import store
 from logloom.streaming.live import tail
 
@@ -37,12 +38,16 @@ def parser() -> argparse.ArgumentParser:
     follow.add_argument("--apps", action="append", default=[])
     follow.add_argument("--once", action="store_true", help="stop at what is there now")
     sub.add_parser("apps", help="list the sources")
+    sub.add_parser("serve", help="answer over HTTP").add_argument("--port", type=int, default=5180)
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("logloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.what == "serve":
+        server(spark, args.store, args.port).serve_forever()
+        return
     if args.what == "tail":
         def show(batch, _):
             for r in batch.toLocalIterator():

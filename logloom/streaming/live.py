@@ -35,7 +35,7 @@ def ingest_stream(pushes: DataFrame, path: str, checkpoint: str, index: bool = T
 
 
 def tail(spark: SparkSession, path: str, sources: Sequence[str] = (), files: int = 100) -> DataFrame:
-    """A stream of every further line of the given sources, or of all, later ones included.
+    """A stream of every further line of the given sources, or of all ("*" too), later ones included.
 
     Only the source filters; query, time range and limit have no say in a tail.
     """
@@ -45,5 +45,5 @@ def tail(spark: SparkSession, path: str, sources: Sequence[str] = (), files: int
         # a stream reads folders: of one file, its folder by the file's name
         reader, path = reader.option("pathGlobFilter", hadoop.getName()), hadoop.getParent().toString()
     x = reader.parquet(path)
-    x = x.where(F.col("source").isin(list(sources))) if sources else x
+    x = x.where(F.col("source").isin(list(sources))) if sources and "*" not in sources else x
     return x.select(F.col("source").alias("app"), "ts", "structured", F.col("raw_data").alias("inner"))
