@@ -7,6 +7,9 @@ the bound are kept and lengthened, until whole values remain.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +63,7 @@ def frequent(df: DataFrame, value: Column, share: float, total: int) -> DataFram
     """
     if total <= 0:
         return _values(df, value).where(F.lit(False)).groupBy(F.col("_v").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    least = share * total
-    bound = int(least) if least == int(least) else int(least) + 1
+    bound = math.ceil(Fraction(repr(share)) * total)  # 0.01 * 700 is more than 7 in doubles
     return _refine(_values(df, value), max(1, bound), None)
 
 

@@ -8,6 +8,8 @@ first; the document frequency of a term is the cardinality of its bitmap.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,5 +41,6 @@ def marked_terms(df: DataFrame, terms: Column, rare_below: int = 3, common_share
     A term that is both (a tiny collection) is ``rare``.
     """
     n = df.where(terms.isNotNull()).count()
-    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_share * n, "common")
+    share = Fraction(repr(common_share))
+    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") * share.denominator > share.numerator * n, "common")
     return term_frequencies(df, terms).withColumn("mark", mark)

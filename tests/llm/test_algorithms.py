@@ -60,6 +60,8 @@ def test_frequent_edges(spark):
     assert [tuple(r) for r in heavy.most_frequent(df, F.col("v"), 9).collect()] == [("b", 2), ("a", 1)]
     assert heavy.frequent(df.limit(0), F.col("v"), 0.01, 0).count() == 0
     assert heavy.most_frequent(df.limit(0), F.col("v"), 3).count() == 0
+    edge = spark.createDataFrame([("c",)] * 7 + [(f"u{i}",) for i in range(693)], "v string")
+    assert tuples(heavy.frequent(edge, F.col("v"), 0.01, 700)) == [("c", 7)]
     big = spark.createDataFrame([("x" * 200_000,)] * 3, "v string")
     assert heavy.frequent(big, F.col("v"), 1.0, 3).first().n == 3
 
@@ -77,7 +79,7 @@ ALIKE = [
     ['{"severity":"WARN","message":"checksum in block bf10d32eafbb on cro","latency":7.045}', '{"message": "checksum in block req-c94ce040d9f1 on cro …", "latency": 39, "severity": "WARN"}', '{"latency":1e3,"severity":"WARN","message":"CHECKSUM in block 6d6349a6-8c14-4ef1-9123-8e4ec0c9334d on cro [=====>    ]"}'],
     ["<22>Jan  3 15:16:31 gla rux[316]: cache jog evicted 83650 entries in 13ms [===========>         ]", "<22>Jan 13 15:17:15 gla rux[9]: \x1b[1mcache jog evicted 9907 entries in 5.04 s\x1b[0m"],
     ["I0103 06:53:33.637215    3035 kai.go:603] peer 10.63.194.140", "I1231 06:53:40.861591       5 kai.go:3] peer 10.63.1.1:29077..."],
-    ["[Info] (vin) 04/Jan/2024:11:23:11 +0200 leader moved in 741 ms", "[info] (vin) 04/Feb/2024:11:23:11 +0530 Leader moved in 0.3s."],
+    ["[Info] (vin) 04/Jan/2024:11:23:11 +0200 leader moved in 741 ms", "[info] (vin) 04/Feb/2024:11:23:11 +0530 Leader moved in 0.3s.", "[info] (vin) 04/Feb/2024:11:23:11 +0530 Leader moved in 2m3.5s"],
     ['{"log":"\\u001b[31mreplica g lagging by 5.715s\\u001b[0m\\n","n":1}', '{"log":"replica g lagging by 7 ms.\\n","n":22}'],
     ["", ""],
 ]
