@@ -49,9 +49,9 @@ HASHES = 1 << 16
 #: Labelled documents per label that the field is trained on, at most.
 PER_LABEL = 80
 #: Paragraphs per language, at most, and the chains they are strung into.
-PARAGRAPHS, CHAIN = 400, 4
+PARAGRAPHS, CHAIN = 250, 3
 SWITCH = 0.25
-EPOCHS = 30
+EPOCHS = 12
 
 NOISE = re.compile(r"`[^`\n]*`|\$\$?[^$\n]*\$\$?|!\[[^\]\n]*\]\([^)\n]*\)|\]\([^)\n]*\)|https?://\S+")
 WORD = re.compile(r"[^\W\d_]+")
