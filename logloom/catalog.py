@@ -280,10 +280,7 @@ def p2_containers(spark, d):
 
 @query("p5_found")
 def p5_found(spark, d):
-    rows = layouts.log_entries(logs(spark, d))
-    rows = rows.select(F.lit("loglines").alias("tab"), "source", F.col("seq").alias("first_pos"), F.col("seq").alias("last_pos"), "entry_ms", "level", "component")
-    tail = layouts.tail_entries(table(spark, d, "taillines"))
-    return rows.unionByName(tail.select(F.lit("taillines").alias("tab"), F.col("app").alias("source"), "first_pos", "last_pos", "entry_ms", "level", "component"))
+    return layouts.all_entries(logs(spark, d), table(spark, d, "taillines"))
 
 
 @query("p5_log_entries")

@@ -27,7 +27,7 @@ VARIABLE = 0.5
 _DATE, _TIME, _ZONE = r"(\d{4})-(\d\d)-(\d\d)", r"(\d\d:\d\d:\d\d)", r"(Z|[+-]\d\d:\d\d)"
 #: What a layout's slots give, in this order.
 SLOTS = ["year", "month", "day", "time", "fraction", "zone", "level", "component", "priority", "seconds", "message"]
-# fixed values: per layout, the head of its templates (A capitals, a small letters, # digits), the
+# fixed values: per layout, the head of its templates (A capitals, a other letters, # digits), the
 # pattern of its slots, and which group each slot is
 LAYOUTS: dict[str, tuple[str, str, dict[str, str]]] = {
     "klog": (r"^A# #:#:#\.# # \S+:#\]", r"([A-Z])(\d\d)(\d\d) " + _TIME + r"\.(\d+) +\d+ ([^\s:]+):\d+\] ?(.*)", {"level": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "component": "$6", "message": "$7"}),
@@ -59,28 +59,34 @@ def signature(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+", " "))
 
 
-def shape(token: Column) -> Column:
-    """Runs of capitals as A, of small letters as a, of digits as #; letters without case as a."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\p{Lu}+", "\x01"), r"\p{L}+", "a"), r"\d+", "#")
-    return F.translate(t, "\x01", "A")
+def shape(text: Column) -> Column:
+    """Of a signature's text, runs of capitals as A and of other letters as a."""
+    return F.translate(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "\x01"), r"\p{L}+", "a"), "\x01", "A")
+
+
+def tokens() -> Column:
+    return F.split("sig", " ")
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(sig, tokens, n, lines): the distinct signatures of a column ``line``; none for null."""
+    """(sig, lines): the distinct signatures of a column ``line``; none for null."""
     s = lines.select(signature(F.col("line")).alias("sig")).where("sig IS NOT NULL")
-    s = s.groupBy("sig").agg(F.count(F.lit(1)).alias("lines"))
-    return s.withColumn("tokens", F.split("sig", " ")).withColumn("n", F.size("tokens"))
+    return s.groupBy("sig").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _hashed(sigs: DataFrame) -> DataFrame:
+    """(part, pos, tok): the tokens of every partition by position, as 64-bit hashes."""
+    return sigs.select("part", F.posexplode(F.transform(tokens(), lambda t: F.xxhash64(t))).alias("pos", "tok"))
 
 
 def _cardinalities(sigs: DataFrame) -> DataFrame:
     """(part, pos, distinct): how many tokens each position of each partition has."""
-    tok = sigs.select("part", F.posexplode("tokens").alias("pos", "tok")).distinct()
-    return tok.groupBy("part", "pos").agg(F.count(F.lit(1)).alias("distinct"))
+    return _hashed(sigs).distinct().groupBy("part", "pos").agg(F.count(F.lit(1)).alias("distinct"))
 
 
 def by_count(sigs: DataFrame) -> DataFrame:
     """Step 1: a partition per number of tokens."""
-    return sigs.withColumn("part", F.xxhash64("n"))
+    return sigs.withColumn("part", F.xxhash64(F.size(tokens())))
 
 
 def by_least_variable(sigs: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def by_least_variable(sigs: DataFrame) -> DataFrame:
     c = _cardinalities(sigs).where("distinct > 1")
     best = c.groupBy("part").agg(F.min_by("pos", F.struct("distinct", "pos")).alias("_p"))
     out = sigs.join(best, "part", "left")
-    tok = F.when(F.col("_p").isNotNull(), F.try_element_at("tokens", F.col("_p") + 1))
+    tok = F.when(F.col("_p").isNotNull(), F.try_element_at(tokens(), F.col("_p") + 1))
     return out.withColumn("part", F.xxhash64("part", "_p", tok)).drop("_p")
 
 
@@ -104,7 +110,7 @@ def by_bijection(sigs: DataFrame) -> DataFrame:
     two = usual.where("k > 1").groupBy("part").agg(F.min_by("ps", F.struct(-F.col("k"), "distinct")).alias("ps"))
     two = two.join(good.where("NOT _good").select("part"), "part", "left_semi").select("part", F.col("ps")[0].alias("_p1"), F.col("ps")[1].alias("_p2"))
     x = sigs.join(two, "part", "left")
-    x = x.withColumn("_t1", F.when(F.col("_p1").isNotNull(), F.try_element_at("tokens", F.col("_p1") + 1))).withColumn("_t2", F.when(F.col("_p2").isNotNull(), F.try_element_at("tokens", F.col("_p2") + 1)))
+    x = x.withColumn("_t1", F.when(F.col("_p1").isNotNull(), F.try_element_at(tokens(), F.col("_p1") + 1))).withColumn("_t2", F.when(F.col("_p2").isNotNull(), F.try_element_at(tokens(), F.col("_p2") + 1)))
     pairs = x.where("_p1 IS NOT NULL").groupBy("part", "_t1", "_t2").agg(F.count(F.lit(1)).alias("_n"))
     right = pairs.groupBy("part", "_t1").agg(F.count(F.lit(1)).alias("_of1"), F.sum("_n").alias("_n1"))
     left = pairs.groupBy("part", "_t2").agg(F.count(F.lit(1)).alias("_of2"), F.sum("_n").alias("_n2"))
@@ -120,27 +126,32 @@ def by_bijection(sigs: DataFrame) -> DataFrame:
 
 
 def by_head(sigs: DataFrame) -> DataFrame:
-    """Last step: partitions whose head still holds different token shapes are split by these."""
-    return sigs.withColumn("part", F.xxhash64("part", F.transform(F.slice("tokens", 1, HEAD), shape)))
+    """Last step: partitions whose head still holds different token shapes are split by these;
+    ``head`` is the shapes of the leaf's head."""
+    x = sigs.withColumn("head", shape(F.array_join(F.slice(tokens(), 1, HEAD), " ")))
+    return x.withColumn("part", F.xxhash64("part", "head"))
 
 
-def templates(sigs: DataFrame) -> DataFrame:
-    """(part, template, head, layout): per leaf its slots, the shapes of its head and its layout."""
-    tok = sigs.select("part", F.posexplode("tokens").alias("pos", "tok")).withColumn("shp", shape(F.col("tok")))
-    slots = tok.groupBy("part", "pos").agg(F.min("tok").alias("a"), F.max("tok").alias("b"), F.min("shp").alias("s"), F.max("shp").alias("t"))
-    slot = F.when(F.col("a") == F.col("b"), F.col("a")).when(F.col("s") == F.col("t"), F.concat(F.lit("*"), F.col("s"))).otherwise("*")
-    shp = F.when(F.col("s") == F.col("t"), F.col("s")).otherwise("*")
-    rows = slots.select("part", "pos", slot.alias("slot"), shp.alias("shp"))
-    one = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("pos", "slot", "shp"))).alias("_s"))
-    one = one.select("part", F.array_join(F.transform("_s", lambda s: s.slot), " ").alias("template"), F.array_join(F.transform(F.slice("_s", 1, HEAD), lambda s: s.shp), " ").alias("head"))
+def layout_of(head: Column) -> Column:
+    """The layout whose template the head of a leaf shows; null if none."""
     layout = F.lit(None).cast("string")
-    for name, (head, _, _) in reversed(LAYOUTS.items()):
-        layout = F.when(F.col("head").rlike(head), name).otherwise(layout)
-    return one.withColumn("layout", layout)
+    for name, (pattern, _, _) in reversed(LAYOUTS.items()):
+        layout = F.when(head.rlike(pattern), name).otherwise(layout)
+    return layout
+
+
+def templates(sigs: DataFrame) -> DataFrame:
+    """(part, template, head, layout): per leaf its slots (a constant, or ``*``), the shapes of its
+    head and its layout."""
+    same = _hashed(sigs).groupBy("part", "pos").agg((F.min("tok") == F.max("tok")).alias("same"))
+    same = same.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("pos", "same"))).alias("_s"))
+    one = sigs.groupBy("part").agg(F.min("sig").alias("sig"), F.min("head").alias("head")).join(same, "part")
+    slots = F.zip_with(tokens(), "_s", lambda t, s: F.when(s["same"], t).otherwise("*"))
+    return one.select("part", F.array_join(slots, " ").alias("template"), "head", layout_of(F.col("head")).alias("layout"))
 
 
 def leaves(lines: DataFrame) -> DataFrame:
-    """(sig, part, lines): the leaf of every distinct signature of a column ``line``."""
+    """(sig, part, head, lines): the leaf of every distinct signature of a column ``line``."""
     sigs = cut(signatures(lines))
     return cut(by_head(by_bijection(cut(by_least_variable(by_count(sigs))))))
 
@@ -211,11 +222,13 @@ def json_fields(text: Column) -> Column:
 def heads(rows: DataFrame) -> DataFrame:
     """``rows`` (a column ``line``, a column ``ts``) that begin an entry, with their ``f`` (fields).
 
-    Rows without a digit carry no time and are left out before the exchange.
+    Rows without two numbers joined as in a time of day, or nine digits as in epoch seconds, carry
+    no time and are left out before the exchange.
     """
-    some = rows.where(F.col("line").rlike(r"\d")).withColumn("sig", signature(F.col("line")))
+    some = rows.where(F.col("line").rlike(r"\d:\d|\d{9}")).withColumn("sig", signature(F.col("line")))
     found = leaves(some.select("line"))
-    laid = found.join(templates(found).where("layout IS NOT NULL").select("part", "layout"), "part").select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), "layout")
+    # of a leaf's template the head tells the layout, and all its members share that
+    laid = found.select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), layout_of(F.col("head")).alias("layout")).where("layout IS NOT NULL")
     keyed = some.withColumns({"_a": F.xxhash64("sig"), "_b": F.xxhash64(F.lit(1), "sig")}).drop("sig")
     out = keyed.join(laid, ["_a", "_b"])
     # the generator keeps the optimizer from copying the slots' patterns into each of their uses
@@ -223,6 +236,16 @@ def heads(rows: DataFrame) -> DataFrame:
     return out.withColumn("f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_got")
 
 
+def log_rows(lines: DataFrame) -> DataFrame:
+    """The text rows of the log table by their first lines."""
+    return lines.where("NOT structured AND raw_data IS NOT NULL").select("source", F.col("seq").alias("pos"), "ts", first_line(F.col("raw_data")).alias("line"), F.regexp_extract("raw_data", r"(?s)^[^\r\n]*(.*)$", 1).alias("rest"))
+
+
+def tail_rows(tail: DataFrame) -> DataFrame:
+    """The text lines of a tail that have a place."""
+    return tail.where("NOT coalesce(structured, false) AND line_no IS NOT NULL").select(F.col("app").alias("source"), F.col("line_no").alias("pos"), "ts", first_line(F.col("inner")).alias("line"))
+
+
 def log_entries(lines: DataFrame) -> DataFrame:
     """(source, seq, layout, entry_ms, level, component, message): every text row of the log table
     whose first line carries its own time; the message keeps the further lines.
@@ -230,22 +253,30 @@ def log_entries(lines: DataFrame) -> DataFrame:
     Null text, headless text and structured rows give none; a head with an impossible date is no
     head. Rows equal in all columns each give a row.
     """
-    rows = lines.where("NOT structured AND raw_data IS NOT NULL").select("source", "seq", "ts", "raw_data", first_line(F.col("raw_data")).alias("line"))
-    rest = F.regexp_extract("raw_data", r"(?s)^[^\r\n]*(.*)$", 1)
-    return heads(rows).select("source", "seq", "layout", "f.entry_ms", "f.level", "f.component", F.concat("f.message", rest).alias("message"))
+    return heads(log_rows(lines)).select("source", F.col("pos").alias("seq"), "layout", "f.entry_ms", "f.level", "f.component", F.concat("f.message", "rest").alias("message"))
 
 
-def tail_heads(tail: DataFrame) -> DataFrame:
-    """(app, line_no, entry_ms, level, component, message): the lines of a tail that begin an entry;
-    rows stored twice count once."""
-    text = tail.where("NOT coalesce(structured, false)").select("app", "line_no", "ts", first_line(F.col("inner")).alias("line"))
+def tail_heads(tail: DataFrame, found: DataFrame) -> DataFrame:
+    """(app, line_no, entry_ms, level, component, message): the lines of a tail that begin an entry,
+    from those that ``heads`` found and the structured ones; rows stored twice count once."""
+    kinds = found.schema["f"].dataType.fieldNames()
     json = tail.where("structured").select("app", "line_no", json_fields(F.col("inner")).alias("f"))
-    both = heads(text).select("app", "line_no", "f").unionByName(json)
-    one = both.groupBy("app", "line_no").agg(F.min("f").alias("f"))
-    return one.select("app", "line_no", "f.*")
+    json = json.select("app", "line_no", F.struct(*[F.col(f"f.{k}").alias(k) for k in kinds]).alias("f"))
+    both = found.select(F.col("source").alias("app"), F.col("pos").alias("line_no"), "f").unionByName(json)
+    return both.groupBy("app", "line_no").agg(F.min("f").alias("f")).select("app", "line_no", "f.*")
+
+
+def all_entries(lines: DataFrame, tail: DataFrame) -> DataFrame:
+    """(tab, source, first_pos, last_pos, entry_ms, level, component): the entries of the log table
+    and of a tail, their templates found over both at once."""
+    rows = log_rows(lines).drop("rest").withColumn("tab", F.lit("loglines")).unionByName(tail_rows(tail).withColumn("tab", F.lit("taillines")))
+    found = cut(heads(rows).select("tab", "source", "pos", F.col("f").dropFields("message").alias("f")))
+    own = found.where("tab = 'loglines'").select("tab", "source", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), "f.entry_ms", "f.level", "f.component")
+    more = tail_entries(tail, found=found.where("tab = 'taillines'"))
+    return own.unionByName(more.select(F.lit("taillines").alias("tab"), F.col("app").alias("source"), "first_pos", "last_pos", "entry_ms", "level", "component"))
 
 
-def tail_entries(tail: DataFrame, with_message: bool = False) -> DataFrame:
+def tail_entries(tail: DataFrame, with_message: bool = False, found: DataFrame | None = None) -> DataFrame:
     """(app, first_pos, last_pos, entry_ms, level, component[, message]): the entries of a tail.
 
     An entry runs from its head to the line before the app's next head; lines before the first
@@ -253,7 +284,7 @@ def tail_entries(tail: DataFrame, with_message: bool = False) -> DataFrame:
     ``with_message``, the message holds the lines that follow the head too.
     """
     rows = tail.where("line_no IS NOT NULL")
-    start = cut(tail_heads(rows))
+    start = cut(tail_heads(rows, heads(tail_rows(rows)) if found is None else found))
     marks = start.select("app", "line_no", F.col("line_no").alias("_start"), F.lit(True).alias("_json"))
     plain = rows.select("app", "line_no", F.lit(None).cast("bigint").alias("_start"), F.lit(False).alias("_json"))
     line = cut(marks.unionByName(plain).groupBy("app", "line_no").agg(F.max("_start").alias("_start")))
@@ -261,9 +292,9 @@ def tail_entries(tail: DataFrame, with_message: bool = False) -> DataFrame:
     spans = own.groupBy("app", "first_pos").agg(F.max("line_no").alias("last_pos"))
     head = start.withColumnRenamed("line_no", "first_pos").withColumnRenamed("app", "_app")
     same = [spans["app"].eqNullSafe(head["_app"]), spans["first_pos"] == head["first_pos"]]
-    out = spans.join(head, same).select("app", spans["first_pos"], "last_pos", "entry_ms", "level", "component", "message")
+    out = spans.join(head, same).select("app", spans["first_pos"], "last_pos", "entry_ms", "level", "component", *(["message"] if with_message else []))
     if not with_message:
-        return out.drop("message")
+        return out
     text = rows.select(F.col("app").alias("_app"), F.col("line_no").alias("_no"), "inner").distinct()
     more = own.where("line_no > first_pos").join(text, own["app"].eqNullSafe(text["_app"]) & (own["line_no"] == text["_no"]))
     more = more.groupBy(F.col("app").alias("_app"), F.col("first_pos").alias("_first")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "inner"))), lambda s: s.inner), "\n").alias("_more"))
