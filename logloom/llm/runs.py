@@ -27,9 +27,10 @@ KLOG = r"^([a-z])\d{4} \d\d:\d\d:\d\d\.\d+ +\d+ "
 UUID = r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b"
 IDS = r"\b(?:[a-z]{2,4}[-_])?(?=[a-f]*\d)[0-9a-f]{8,}\b"
 ADDRESSES = r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}\b|\b0x[0-9a-f]+\b"
-NUMBERS = r"[+-]?\d+(?:\.\d+)?(?:e[+-]?\d+)?(?: ?(?:ns|us|µs|ms|s|sec|secs|seconds|m|min|mins|minutes|h|hours)\b| ?%)?"
+UNITS = "(?:ns|us|µs|ms|s|sec|secs|seconds|m|min|mins|minutes|h|hours)"
+NUMBERS = rf"[+-]?\d+(?:,\d{{3}})*(?:\.\d+)?(?:e[+-]?\d+)?(?: ?{UNITS}(?:\d+(?:\.\d+)?{UNITS})*\b| ?%)?"
 CLOSING = r"(?:\\[nrt]|[\s.!?…;,:])+(?=\"|$)"
-AROUND = r"\s*([^\p{L}\p{N}\s])\s*"
+AROUND = r"\s+(?=[^\p{L}\p{N}\s])|(?<=[^\p{L}\p{N}\s])\s+"
 
 
 def said(raw: Column) -> Column:
@@ -42,13 +43,12 @@ def said(raw: Column) -> Column:
     # a syslog head's priority holds the level: its digits become letters
     prio = F.regexp_extract(raw, r"^<(\d{1,3})>", 1)
     out = F.lower(F.coalesce(parsed, raw))
-    out = F.regexp_replace(out, ANSI, "")
-    out = F.regexp_replace(out, PROGRESS, "")
+    out = F.regexp_replace(out, f"{ANSI}|{PROGRESS}", "")
     out = F.regexp_replace(out, KLOG, "$1 # # ")
-    for pattern in (STAMPS, UUID, IDS, ADDRESSES, NUMBERS):
-        out = F.regexp_replace(out, pattern, "#")
+    # one pass: at each place the first kind that fits
+    out = F.regexp_replace(out, "|".join((STAMPS, UUID, IDS, ADDRESSES, NUMBERS)), "#")
     out = F.regexp_replace(out, CLOSING, "")
-    out = F.regexp_replace(out, AROUND, "$1")
+    out = F.regexp_replace(out, AROUND, "")
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     return F.when(raw.isNotNull(), F.concat(F.translate(prio, "0123456789", "abcdefghij"), out))
 
