@@ -239,7 +239,7 @@ _AUDIT = ", ".join(rf"""regexp_extract_all(raw_data, '\s{k}="((?:[^"\\]|\\.)*)"'
 _parsed("audit_parse", shipper.audit, rf"SELECT source, seq, regexp_extract(raw_data, '^(\S+) AUDIT:', 1) AS f_time, {_AUDIT} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '^\S+ AUDIT:')")
 
 
-@query("container_parse")
+@query("container_parse", "SELECT source, seq, json_extract_string(j, '$.log') AS log, json_extract_string(j, '$.stream') AS stream FROM (SELECT *, CASE WHEN json_valid(raw_data) THEN raw_data::JSON END AS j FROM loglines) AS x WHERE structured AND json_extract_string(j, '$.log') IS NOT NULL")
 def container_parse(spark, d):
     x = logs(spark, d).where("structured").select("source", "seq", shipper.container(F.col("raw_data")).alias("p")).where("p.log IS NOT NULL")
     return x.select("source", "seq", "p.log", "p.stream")

@@ -85,6 +85,16 @@ def multiline(lines: DataFrame, keys: list[str], order: str, text: str, first: s
     return x.groupBy(*keys, "first").agg(joined.alias(text))
 
 
+def forwarded(records: DataFrame, tag: str) -> DataFrame:
+    """Records that are not the shipper's own: tags fluent.* go nowhere, null tags do."""
+    return records.where(~F.coalesce(F.col(tag).startswith("fluent."), F.lit(False)))
+
+
+def enriched(records: DataFrame, pods: DataFrame, on: str) -> DataFrame:
+    """Records with what a table of pods knows of theirs; records of unknown pods stay."""
+    return records.join(pods.dropDuplicates([on]), on, "left")
+
+
 def routed(records: DataFrame, raw: str, ts: Column, stops: list[str]) -> DataFrame:
     """JSON records as log lines of the pod they name: text that is no object is dropped; terms
     come from strings and strings in arrays, keys from objects only."""

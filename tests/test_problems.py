@@ -177,3 +177,24 @@ def test_late_rows(spark, block):
 def test_key_totals(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 5), ("b", None)], "k string, v bigint")
     assert tuples(skewed.key_totals(df, "k", "v")) == sorted([("a", 2, 1, 1), (None, 1, 1, 5), ("b", 1, 0, 0)], key=repr)
+
+
+# --- columns of the input that are called like the operators' own ---
+
+
+def test_clashing_columns(spark, log_table):
+    rows = log_table([{"ts": 5, "raw_data": HEADS[i % 8][0], "seq": i} for i in range(20)])
+    named = rows.withColumns({c: F.lit(1) for c in ("line", "sig", "part", "layout", "pos", "rest", "f", "entry_ms", "head", "tokens")})
+    assert tuples(layouts.log_entries(named)) == tuples(layouts.log_entries(rows))
+    p = pushes(spark, (1, "s", [(1, {"a": 1})]), (2, "s", [(2, {"b": 10**9})]))
+    more = p.withColumns({c: F.lit(1) for c in ("ts", "path", "kind", "words", "first_ts", "raw_data", "has_prev")})
+    assert tuples(drift.changes(more)) == tuples(drift.changes(p)) == [("s", 2, "added", "", "b"), ("s", 2, "removed", "a", "")]
+    assert tuples(drift.consistent_table(more)) == tuples(drift.consistent_table(p))
+
+
+def test_entries_of_both_tables(spark, log_table):
+    logs = log_table([{"ts": MS // 1000, "raw_data": h[0]} for h in HEADS])
+    tail = spark.createDataFrame([("a", i, MS // 1000, False, h[0]) for i, h in enumerate(HEADS)], "app string, line_no bigint, ts bigint, structured boolean, `inner` string")
+    got = layouts.all_entries(logs, tail).groupBy("tab").count().collect()
+    assert {(r.tab, r["count"]) for r in got} == {("loglines", len(HEADS)), ("taillines", len(HEADS))}
+    assert layouts.all_entries(logs.limit(0), tail.limit(0)).count() == 0

@@ -31,3 +31,10 @@ def test_routing(spark):
     rows = [('{"kubernetes":{"pod_name":"p"},"m":"The  quick\\nfox","l":["a",1,{"x":"no"}]}', 5), ("[1]", 6), ("{bad", 7), ('{"m":"x"}', 8), (None, 9)]
     got = shipper.routed(spark.createDataFrame(rows, "raw string, ts bigint"), "raw", F.col("ts"), ["the", "The"]).collect()
     assert [(r.source, r.ts, r.indexes, r.json_keys) for r in got] == [("p", 5, ["p", "quick", "fox", "a"], ["kubernetes.pod_name", "m", "l"])]
+
+
+def test_own_records_and_enrichment(spark):
+    df = spark.createDataFrame([("fluent.warn", "p"), ("kubernetes.x", "p"), (None, "q")], "tag string, pod string")
+    pods = spark.createDataFrame([("p", "n1"), ("p", "n1")], "pod string, node string")
+    got = shipper.enriched(shipper.forwarded(df, "tag"), pods, "pod").collect()
+    assert sorted((r.tag or "", r.pod, r.node) for r in got) == [("", "q", None), ("kubernetes.x", "p", "n1")]
