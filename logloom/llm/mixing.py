@@ -29,6 +29,7 @@ def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFra
     more, supply * max_repeats; what a source lacks is not taken from others. Sources without
     documents, and targets with null or non-positive numbers, take 0.
     """
+    targets = targets.select("mix_id", "source", "target_share", "max_repeats", "size_ratio")
     own = sizes.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     t = targets.join(own, "source", "left").withColumns({"supply": F.coalesce("supply", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))})
@@ -47,12 +48,12 @@ def mixture(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int
     ``sizes`` has row, doc_id, source, n_tokens. A source is gone through in a pseudo-random but
     fixed order, again from the start when it is exhausted, at most max_repeats times; a document
     is drawn if its middle token lies within what is taken, so that a source misses its tokens by
-    half a document at most. ``position`` is in [0, 1], ``at_token`` the same in tokens of the
+    half a document at most. Further columns are not read. ``position`` is in [0, 1], ``at_token`` the same in tokens of the
     mix. Documents without source or tokens are not drawn; rows with equal ids are documents of
     their own. The result is sorted by mix and position.
     """
     t = cut(demands(sizes, targets, tilt)).where("take > 0").select("mix_id", "source", "max_repeats", "supply", "take", "all_take", "a")
-    docs = sizes.where("n_tokens > 0 AND source IS NOT NULL").withColumn("_h", F.xxhash64("row", F.lit(seed)))
+    docs = sizes.select("row", "doc_id", "source", "n_tokens").where("n_tokens > 0 AND source IS NOT NULL").withColumn("_h", F.xxhash64("row", F.lit(seed)))
     docs = running_sum(docs, ["source"], ["_h", "row"], "n_tokens", "_before")
     small = F.broadcast(t) if t.count() <= SMALL else t
     x = docs.join(small, "source")

@@ -67,6 +67,8 @@ def test_packing_edges(spark):
     assert len({r.container_no for r in packing.pack(same, spec).collect()}) == 3  # equal ids are items of their own
     none = spark.createDataFrame([(0, None, 3), (1, 2**60 + 1, 3)], "row bigint, doc_id bigint, n_tokens bigint")
     assert {r.doc_id for r in packing.pack(none, spec).collect()} == {None, 2**60 + 1}
+    named = same.withColumns({c: F.lit(1) for c in ("pack_id", "capacity", "piece_no", "container_no", "open", "_h")})
+    assert tuples(packing.pack(named, spec).drop("container_no")) == tuples(packing.pack(same, spec).drop("container_no"))
     assert packing.pack(same.limit(0), spec).count() == 0 and packing.pack(same, spec.limit(0)).count() == 0
 
 
@@ -114,6 +116,8 @@ def test_mixing_edges(spark):
     t = spark.createDataFrame([(1, "a", 1.0, 1, 1.0)], TARGETS)
     same = spark.createDataFrame([(i, 7, "a", 5) for i in range(3)] + [(3, 8, "a", 0), (4, None, "a", None)], "row bigint, doc_id bigint, source string, n_tokens bigint")
     assert mixing.mixture(same, t).count() == 3
+    named = same.withColumns({c: F.lit(1) for c in ("take", "supply", "a", "mix_id", "max_repeats", "position")})
+    assert tuples(mixing.mixture(named, t.withColumn("supply", F.lit(1)))) == tuples(mixing.mixture(same, t))
     assert mixing.mixture(same.limit(0), t).count() == 0 and mixing.mixture(same, t.limit(0)).count() == 0
 
 
