@@ -22,11 +22,13 @@ TILT = 0.5
 SMALL = 10_000
 
 
-def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFrame:
+def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, shrink: bool = False) -> DataFrame:
     """Per mix and source: supply, want, take (tokens) and the schedule's ``a``.
 
     want = target_share * size_ratio * all tokens of the corpus; take is want, or where that is
-    more, supply * max_repeats; what a source lacks is not taken from others. Sources without
+    more, supply * max_repeats; what a source lacks is not taken from others. With ``shrink`` the whole
+    mix is made smaller instead, until the scarcest of its sources that have documents suffices,
+    so that the shares of these keep their proportions. Sources without
     documents, and targets with null or non-positive numbers, take 0.
     """
     targets = targets.select("mix_id", "source", "target_share", "max_repeats", "size_ratio")
@@ -34,7 +36,12 @@ def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFra
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     t = targets.join(own, "source", "left").withColumns({"supply": F.coalesce("supply", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))})
     t = t.withColumn("want", F.coalesce(F.greatest(F.col("target_share"), F.lit(0)) * F.greatest(F.col("size_ratio"), F.lit(0)) * total, F.lit(0.0)))
-    t = t.withColumn("take", F.least("want", F.coalesce(F.col("supply") * F.greatest(F.col("max_repeats"), F.lit(0)), F.lit(0)).cast("double")))
+    most = F.coalesce(F.col("supply") * F.greatest(F.col("max_repeats"), F.lit(0)), F.lit(0)).cast("double")
+    if shrink:
+        scarce = F.min(F.when((F.col("want") > 0) & (most > 0), F.least(F.lit(1.0), F.try_divide(most, F.col("want"))))).over(Window.partitionBy("mix_id"))
+        t = t.withColumn("take", F.least(most, F.col("want") * F.coalesce(scarce, F.lit(1.0))))
+    else:
+        t = t.withColumn("take", F.least("want", most))
     used = F.when(F.col("take") > 0, F.col("take") / (F.col("supply") * F.col("max_repeats"))).otherwise(0.0)
     mix = Window.partitionBy("mix_id")
     mean = F.try_divide(F.sum(used * F.col("take")).over(mix), F.sum("take").over(mix))
@@ -42,7 +49,7 @@ def demands(sizes: DataFrame, targets: DataFrame, tilt: float = TILT) -> DataFra
     return t.withColumn("a", tilt * (used - F.coalesce(mean, F.lit(0.0))))
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int = 7) -> DataFrame:
+def mixture(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int = 7, shrink: bool = False) -> DataFrame:
     """(mix_id, source, doc_id, repeat_no, n_tokens, position, at_token): the drawn documents.
 
     ``sizes`` has row, doc_id, source, n_tokens. A source is gone through in a pseudo-random but
@@ -52,7 +59,7 @@ def mixture(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int
     mix. Documents without source or tokens are not drawn; rows with equal ids are documents of
     their own. The result is sorted by mix and position.
     """
-    t = cut(demands(sizes, targets, tilt)).where("take > 0").select("mix_id", "source", "max_repeats", "supply", "take", "all_take", "a")
+    t = cut(demands(sizes, targets, tilt, shrink)).where("take > 0").select("mix_id", "source", "max_repeats", "supply", "take", "all_take", "a")
     docs = sizes.select("row", "doc_id", "source", "n_tokens").where("n_tokens > 0 AND source IS NOT NULL").withColumn("_h", F.xxhash64("row", F.lit(seed)))
     docs = running_sum(docs, ["source"], ["_h", "row"], "n_tokens", "_before")
     small = F.broadcast(t) if t.count() <= SMALL else t
@@ -69,11 +76,11 @@ def mixture(sizes: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int
     return x.repartitionByRange(n, "mix_id", "position", "doc_id").sortWithinPartitions("mix_id", "position", "doc_id", "repeat_no")
 
 
-def shares(sizes: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
+def shares(sizes: DataFrame, targets: DataFrame, drawn: DataFrame, shrink: bool = False) -> DataFrame:
     """(mix_id, source, target_share, actual_share, want_tokens, tokens, n_docs, n_draws, most_repeats,
     short): what each target asked for and what it got; a row per target."""
     got = drawn.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_draws"), F.max(F.col("repeat_no") + 1).alias("most_repeats"))
-    t = demands(sizes, targets).join(got, ["mix_id", "source"], "left")
+    t = demands(sizes, targets, shrink=shrink).join(got, ["mix_id", "source"], "left")
     tokens = F.coalesce("tokens", F.lit(0))
     whole = F.sum(tokens).over(Window.partitionBy("mix_id"))
     return t.select(

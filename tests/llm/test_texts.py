@@ -112,6 +112,14 @@ def test_mixing(spark):
     assert abs(half - 0.5) < 0.03
 
 
+def test_mixing_shrunk_keeps_proportions(spark):
+    df = sizes_of(spark, [10] * 400, {i: "a" if i < 20 else "b" for i in range(400)}).withColumn("doc_id", F.col("row"))
+    t = spark.createDataFrame([(1, "a", 0.5, 2, 0.5), (1, "b", 0.4, 1, 0.5), (1, "none", 0.1, 1, 0.5)], TARGETS)
+    got = {r.source: r for r in mixing.shares(df, t, mixing.mixture(df, t, shrink=True), shrink=True).collect()}
+    assert got["a"].tokens == 400 and got["b"].tokens == 320 and got["none"].tokens == 0 and got["a"].most_repeats == 2
+    assert all(got[s].short for s in ("a", "b", "none"))
+
+
 def test_mixing_edges(spark):
     t = spark.createDataFrame([(1, "a", 1.0, 1, 1.0)], TARGETS)
     same = spark.createDataFrame([(i, 7, "a", 5) for i in range(3)] + [(3, 8, "a", 0), (4, None, "a", None)], "row bigint, doc_id bigint, source string, n_tokens bigint")
