@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from logloom import adapters
@@ -10,7 +12,7 @@ from logloom.functions.text import stems, stop_words, tokens, without_stop_words
 from logloom.operators import drift, layouts, nested, skewed
 from logloom.plans.planner import Request, plan
 from logloom.plans.render import answer
-from logloom.runtime import column_names, cut, shared_dir, table
+from logloom.runtime import column_names, shared_dir, table
 from logloom.sources import push, shipper, store
 from logloom.streaming import live
 
@@ -174,7 +176,7 @@ def ingest_pushes(spark, d):
 
 @query("store_roundtrip", "SELECT source, ts, seq, structured, raw_data FROM loglines")
 def store_roundtrip(spark, d):
-    path = f"{shared_dir(spark)}/store-{cut(spark.range(1)).inputFiles()[0].split('logloom-')[-1][:32]}"
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     store.write(logs(spark, d), path)
     return store.read(spark, path).select("source", "ts", "seq", "structured", "raw_data")
 
@@ -208,8 +210,7 @@ def registry_lookup(spark, d):
 
 @query("stream_tail", "SELECT source AS app, ts, structured, raw_data AS \"inner\" FROM loglines WHERE source IN ('coxlotmet', 'kube-cutrux')")
 def stream_tail(spark, d):
-    name = cut(spark.range(1)).inputFiles()[0].split("logloom-")[-1][:32]
-    out = f"{shared_dir(spark)}/tail-{name}"
+    out = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
     rows = live.tail(spark, f"{d}/loglines.parquet", ["coxlotmet", "kube-cutrux"])
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
