@@ -17,7 +17,8 @@ from logloom.runtime import cut
 
 # fixed values: patterns of what changes with each emission
 ANSI = r"(?:\x1b|\\u001b)\[[0-9;]*[a-z]"
-PROGRESS = r"\s*\[(?=[=> #.-]*[=>#])[=#-]*>?[ .-]*\]|\s*\[ {5,}\]"
+# a run is entered at its first character only: long runs cost no more than their length
+PROGRESS = r"(?<!\s)\s*+\[(?:(?=[=#>])[=#-]*+>?[ .-]*+| {5,})\]"
 STAMPS = (
     r"\d{4}-\d\d-\d\d[t ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:z\b| ?[+-]\d\d:?\d\d\b)?"
     r"|\d\d/(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/\d{4}:\d\d:\d\d:\d\d(?: [+-]\d{4})?"
@@ -29,8 +30,8 @@ IDS = r"\b(?:[a-z]{2,4}[-_])?(?=[a-f]*\d)[0-9a-f]{8,}\b"
 ADDRESSES = r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}\b|\b0x[0-9a-f]+\b"
 UNITS = "(?:ns|us|µs|ms|s|sec|secs|seconds|m|min|mins|minutes|h|hours)"
 NUMBERS = rf"[+-]?\d+(?:,\d{{3}})*(?:\.\d+)?(?:e[+-]?\d+)?(?: ?{UNITS}(?:\d+(?:\.\d+)?{UNITS})*\b| ?%)?"
-CLOSING = r"(?:\\[nrt]|[\s.!?…;,:])+(?=\"|$)"
-AROUND = r"\s+(?=[^\p{L}\p{N}\s])|(?<=[^\p{L}\p{N}\s])\s+"
+CLOSING = r"(?<![\s.!?…;,:])(?:\\[nrt]|[\s.!?…;,:])++(?=\"|$)"
+AROUND = r"(?<!\s)\s++(?=[^\p{L}\p{N}\s])|(?<=[^\p{L}\p{N}\s])\s++"
 
 
 def said(raw: Column) -> Column:

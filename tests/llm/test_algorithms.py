@@ -2,7 +2,6 @@
 
 import itertools
 import random
-import re
 from collections import Counter
 
 import pytest
@@ -135,6 +134,8 @@ def test_runs_repeated_rows_and_empty(spark):
     assert runs.runs(df.limit(0)).count() == 0
 
 
-def test_patterns_compile():
-    for p in (runs.PROGRESS, runs.STAMPS, runs.UUID, runs.IDS, runs.ADDRESSES, runs.NUMBERS):
-        re.compile(p)
+def test_said_of_long_runs(spark):
+    n = 300_000
+    texts = ["a" + " " * n + "b", "a" + "." * n + "b", "[" * n, "[" + "=" * n, "1" * n, "f" * n, "a " * n, '{"k":"' + "x " * n + '"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.length(runs.said(F.col("t"))).alias("n"))
+    assert [r.n for r in df.collect()][0] == 3
