@@ -114,9 +114,9 @@ def flatten(raw: pd.Series) -> pd.Series:
     def one(t):
         try:
             v = json.loads(t) if isinstance(t, str) else None
+            return dict(flatten_pairs(v)) if isinstance(v, dict) else None
         except (ValueError, RecursionError):
-            v = None
-        return dict(flatten_pairs(v)) if isinstance(v, dict) else None
+            return None
 
     return raw.map(one)
 
@@ -138,9 +138,9 @@ def _keys(raw: pd.Series) -> pd.Series:
     def one(t):
         try:
             v = json.loads(t) if isinstance(t, str) else None
+            return list(walk(v)) if isinstance(v, dict) else None
         except (ValueError, RecursionError):
-            v = None
-        return list(walk(v)) if isinstance(v, dict) else None
+            return None
 
     return raw.map(one)
 

@@ -53,7 +53,7 @@ def audit(text: Column) -> Column:
     repeated key the last holds, absent keys are null."""
 
     def last(key: str) -> Column:
-        all_of = F.regexp_extract_all(text, F.lit(rf'\s{key}="((?:[^"\\]|\\.)*)"'), F.lit(1))
+        all_of = F.regexp_extract_all(text, F.lit(rf'\s{key}="([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(1))
         return F.try_element_at(all_of, F.lit(-1)).alias(key)
 
     return F.when(text.rlike(AUDIT), F.struct(F.regexp_extract(text, AUDIT, 1).alias("time"), *[last(k) for k in AUDIT_FIELDS]))
@@ -120,9 +120,9 @@ def _strings(raw: Column) -> Column:
         def one(t):
             try:
                 v = json.loads(t) if isinstance(t, str) else None
+                return list(walk(v)) if isinstance(v, dict) else []
             except (ValueError, RecursionError):
-                v = None
-            return list(walk(v)) if isinstance(v, dict) else []
+                return []
 
         return s.map(one)
 

@@ -54,7 +54,7 @@ def test_numeric(spark):
 
 
 def test_flatten(spark):
-    df = spark.createDataFrame([('{"a":{"b":[1.0,{"c":"x"},[null]]},"d":true,"e":[],"f":1e3}',), ("[1]",), (None,), ("{",)], "t string")
+    df = spark.createDataFrame([('{"a":{"b":[1.0,{"c":"x"},[null]]},"d":true,"e":[],"f":1e3}',), ("[1]",), (None,), ("{",), ('{"a":' * 3000 + "1" + "}" * 3000,)], "t string")
     got = [r[0] for r in df.select(jsonpath.flatten(F.col("t"))).collect()]
-    assert got == [{"a.b": ["1", "null"], "a.b.c": ["x"], "d": ["true"], "f": ["1000"]}, None, None, None]
-    assert [r[0] for r in df.select(jsonpath.object_keys(F.col("t"))).collect()] == [["a.b", "d", "e", "f"], None, None, None]
+    assert got == [{"a.b": ["1", "null"], "a.b.c": ["x"], "d": ["true"], "f": ["1000"]}, None, None, None, None]
+    assert [r[0] for r in df.select(jsonpath.object_keys(F.col("t"))).collect()] == [["a.b", "d", "e", "f"], None, None, None, None]

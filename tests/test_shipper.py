@@ -17,6 +17,7 @@ def test_parsers(spark):
     assert one(spark, shipper.syslog, "<14>Jan  5 21:58:59 host app[46]: hi")["ident"] == "app"
     a = one(spark, shipper.audit, '2017-02-09T00:15:57.9Z AUDIT: user="a \\"b\\"" zz="1" id="9"')
     assert a["user"] == 'a \\"b\\"' and a["id"] == "9" and a["ip"] is None
+    assert len(one(spark, shipper.audit, '2017-02-09T00:15:57.9Z AUDIT: uri="' + 'a\\\"' * 50_000 + '"')["uri"]) == 150_000
     assert one(spark, shipper.container, '{"log":"x","stream":"stdout","time":"2024-01-03T00:00:00.5Z"}') == {"log": "x", "stream": "stdout", "ts": 1704240000}
     assert one(spark, shipper.journal, '{"MESSAGE":"m","_SYSTEMD_UNIT":"u","__REALTIME_TIMESTAMP":"1704240000123456"}')["ts"] == 1704240000
 
