@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.runtime import cut
+
 RANGE = "_range"
 
 
@@ -24,6 +26,15 @@ def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartitionByRange(max(n, 2), *keys, *order).withColumn(RANGE, F.spark_partition_id())
 
 
+def fixed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``ranged``, written once: for rows that are used twice, as they are and for what each range holds.
+
+    Two uses that need different columns would make two exchanges, each with borders of its own
+    sample, so that one's ranges aren't the other's.
+    """
+    return cut(ranged(df, keys, order))
+
+
 def within(keys: list[str], order: list[str]):
     """The window of one key's rows within one range."""
     return Window.partitionBy(RANGE, *keys).orderBy(*order)
@@ -51,7 +62,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     """
     v = F.coalesce(F.col(value), F.lit(0))
     w = within(keys, order)
-    local = ranged(df, keys, order).withColumn("_local", F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) - v)
+    local = fixed(df, keys, order).withColumn("_local", F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) - v)
     totals = local.groupBy(RANGE, *keys).agg(F.sum(v).alias("_total"))
     base = totals.withColumn("_base", F.sum("_total").over(over_ranges(keys)) - F.col("_total")).drop("_total")
     return join_keys(local, base, [RANGE, *keys]).withColumn(out, F.col("_local") + F.col("_base")).drop("_local", "_base", RANGE)
@@ -61,7 +72,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     """Add ``prev_<v>`` for each v of ``values`` and ``has_prev``: what the key's row before holds."""
     w = within(keys, order)
     s = F.struct(*values)
-    local = ranged(df, keys, order).withColumn("_here", F.lag(s).over(w)).withColumn("_rn", F.row_number().over(w))
+    local = fixed(df, keys, order).withColumn("_here", F.lag(s).over(w)).withColumn("_rn", F.row_number().over(w))
     last = local.groupBy(RANGE, *keys).agg(F.max_by(s, F.struct(*order, "_rn")).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(over_ranges(keys))).drop("_last")
     out = join_keys(local, carry, [RANGE, *keys])
@@ -73,7 +84,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the greatest ``value`` of the key's rows up to and with this one (nulls skipped)."""
     w = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged(df, keys, order).withColumn("_local", F.max(value).over(w))
+    local = fixed(df, keys, order).withColumn("_local", F.max(value).over(w))
     tops = local.groupBy(RANGE, *keys).agg(F.max(value).alias("_top"))
     carry = tops.withColumn("_carry", F.max("_top").over(over_ranges(keys).rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
     return join_keys(local, carry, [RANGE, *keys]).withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", RANGE)

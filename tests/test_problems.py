@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import drift, layouts, nested, ordered, skewed
+from logloom.sources import push
 
 
 def tuples(df):
@@ -31,6 +32,25 @@ def test_running_sum_and_previous(spark):
             total, last = total + (v or 0), i
 
 
+def test_ranges_with_payload(spark):
+    # more rows than a sample of range borders holds, and a column that the ranges' totals don't need
+    n = 60_000
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    df = spark.range(n, numPartitions=4).select(key.alias("k"), F.xxhash64("id").alias("o"), F.lit(1).alias("v"), F.concat(F.lit("payload"), "id").alias("p"))
+    rows = sorted((r.k, r.o, r.p) for r in df.collect())
+    at, want = {}, []
+    for k, o, p in rows:
+        want.append((k, o, p, at.get(k, 0)))
+        at[k] = at.get(k, 0) + 1
+    assert sorted(map(tuple, ordered.running_sum(df, ["k"], ["o"], "v", "s").select("k", "o", "p", "s").collect())) == want
+    assert sorted(map(tuple, ordered.running_max(df, ["k"], ["o"], "o", "m").select("k", "m", "p").collect())) == rows
+    before = ordered.previous(df, ["k"], ["o"], ["o"])
+    assert before.select("p", "has_prev").where("NOT has_prev").count() == len(at)
+    assert before.where("prev_o >= o").count() == 0
+    seqs = push.with_seq(df.withColumnRenamed("k", "source"), ["o"])
+    assert sorted(map(tuple, seqs.select("source", "o", "p", F.col("seq") - 1).collect())) == want
+
+
 # --- nested (2) ---
 
 
