@@ -274,9 +274,16 @@ def p2_schema(spark, d):
     return nested.merged_schema(logs(spark, d).where("structured"), F.col("raw_data"))
 
 
+@query("p2_children")
+def p2_children(spark, d):
+    return nested.child_rows(logs(spark, d).where("structured"), "raw_data", ["source", "seq"])
+
+
 @query("p2_containers")
 def p2_containers(spark, d):
-    return nested.child_tables(logs(spark, d).where("structured"), "raw_data", ["source", "seq"])["/spec/containers/*"]
+    lines = logs(spark, d).where("structured")
+    none = nested.nested_objects(lines.limit(0), "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent", "ordinal")
+    return nested.child_tables(lines, "raw_data", ["source", "seq"]).get("/spec/containers/*", none)
 
 
 @query("p5_found")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from logloom.runtime import column_names, cut
 
+#: Rows of fields that are handed on at a time.
+ROWS = 50_000
 NODES = "_line string, path string, pointer string, parent string, ordinal bigint, fields string"
 
 
@@ -122,6 +124,18 @@ def _explode(parts: Iterator[pd.DataFrame], with_fields: bool) -> Iterator[pd.Da
         yield pd.DataFrame(out, columns=["_line", "path", "pointer", "parent", "ordinal", "fields"])
 
 
+def _with_lines(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
+    # arrays of objects need a bracket and a brace: other lines needn't reach Python
+    some = df.where(F.col(body).contains("[") & F.col(body).contains("{"))
+    return some.select(F.to_json(F.array(*[F.col(k).cast("string") for k in keys]), {"ignoreNullFields": "false"}).alias("_line"), F.col(body).alias("_json"))
+
+
+def _keys_back(df: DataFrame, keys: list[str]) -> list[Column]:
+    types = dict(df.select(*keys).dtypes)
+    line = F.from_json("_line", "array<string>")
+    return [line[i].cast(types[k]).alias(k) for i, k in enumerate(keys)]
+
+
 def nested_objects(df: DataFrame, body: str, keys: list[str], with_fields: bool = False) -> DataFrame:
     """(keys, path, pointer, parent, ordinal, fields): each object that is an element of an array
     of the JSON text ``body``, at any depth, in one pass over the records.
@@ -131,13 +145,39 @@ def nested_objects(df: DataFrame, body: str, keys: list[str], with_fields: bool
     Records equal in ``keys`` each give their rows. Columns of ``df`` outside ``keys`` and
     ``body`` are not read, so clashing names do no harm.
     """
-    # arrays of objects need a bracket and a brace: other lines needn't reach Python
-    some = df.where(F.col(body).contains("[") & F.col(body).contains("{"))
-    types = dict(df.select(*keys).dtypes)
-    rows = some.select(F.to_json(F.array(*[F.col(k).cast("string") for k in keys]), {"ignoreNullFields": "false"}).alias("_line"), F.col(body).alias("_json"))
-    found = rows.mapInPandas(lambda it: _explode(it, with_fields), NODES)
-    line = F.from_json("_line", "array<string>")
-    return found.select(*[line[i].cast(types[k]).alias(k) for i, k in enumerate(keys)], "path", "pointer", "parent", "ordinal", "fields")
+    found = _with_lines(df, body, keys).mapInPandas(lambda it: _explode(it, with_fields), NODES)
+    return found.select(*_keys_back(df, keys), "path", "pointer", "parent", "ordinal", "fields")
+
+
+def _field_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["_line", "path", "pointer", "parent", "ordinal", "field", "kind", "value"]
+    out = []
+    for pdf in parts:
+        for line, text in zip(pdf["_line"], pdf["_json"], strict=True):
+            try:
+                value = parse(text)
+            except ValueError:
+                continue
+            for path, pointer, parent, at, o in objects(value):
+                own = (line, path, pointer, parent, at)
+                for name, v in _leaves(o):
+                    out.append((*own, name, _kind(v), v if v is None or isinstance(v, str) else json.dumps(v)))
+                if not o:
+                    out.append((*own, None, None, None))
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+    yield pd.DataFrame(out, columns=names)
+
+
+def child_rows(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
+    """(path, keys, pointer, parent, ordinal, field, kind, value): the child tables of every array
+    path in one, a row per object and field; an object without fields has one row with null field.
+
+    ``value`` is the text of a string, the JSON of any other value, and null for null.
+    """
+    found = _with_lines(df, body, keys).mapInPandas(_field_rows, NODES.replace("fields string", "field string, kind string, value string"))
+    return found.select("path", *_keys_back(df, keys), "pointer", "parent", "ordinal", "field", "kind", "value")
 
 
 def _column_type(kinds: list[str]) -> str:
@@ -154,7 +194,8 @@ def child_tables(df: DataFrame, body: str, keys: list[str]) -> dict[str, DataFra
     The objects are written once to the shared folder, split by path; each table reads its part.
     """
     nodes = cut(nested_objects(df, body, keys, with_fields=True))
-    fields: dict[str, dict[str, list[str]]] = {}
+    # paths whose objects are all empty have no fields, but rows
+    fields: dict[str, dict[str, list[str]]] = {r.path: {} for r in nodes.select("path").distinct().collect()}
     for r in merged_schema(df, F.col(body)).collect():  # as large as the schema, not the data
         fields.setdefault(r.path, {}).setdefault(r.field, []).append(r.kind)
     out = {}

@@ -93,6 +93,30 @@ def test_child_tables(spark):
     assert tuples(t["/items/*/opts/*"].select("id", "pointer", "parent", "f_o")) == [(0, "/items/0/opts/0", "/items/0", True)]
 
 
+def test_child_rows(spark):
+    docs = ['{"items":[{"sku":"a","n":[1],"opts":[{"o":true}]},{}]}', '{"e":[{"d":{"x":1.5,"y":null}}]}', '{"e":[{}],"only":[{},[{}]]}', "[{"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id bigint, j string")
+    got = tuples(nested.child_rows(df, "j", ["id"]))
+    assert got == sorted([
+        ("/items/*", 0, "/items/0", "", 0, "sku", "string", "a"), ("/items/*", 0, "/items/0", "", 0, "n", "array", "[1]"), ("/items/*", 0, "/items/0", "", 0, "opts", "array", '[{"o": true}]'),
+        ("/items/*/opts/*", 0, "/items/0/opts/0", "/items/0", 0, "o", "boolean", "true"), ("/items/*", 0, "/items/1", "", 1, None, None, None),
+        ("/e/*", 1, "/e/0", "", 0, "d.x", "double", "1.5"), ("/e/*", 1, "/e/0", "", 0, "d.y", "null", None), ("/e/*", 2, "/e/0", "", 0, None, None, None),
+        ("/only/*", 2, "/only/0", "", 0, None, None, None), ("/only/*/*", 2, "/only/1/0", "", 0, None, None, None),
+    ], key=repr)
+    assert {r[1:4] for r in got} == set(map(tuple, nested.nested_objects(df, "j", ["id"]).select("id", "pointer", "parent").collect()))
+    assert set(nested.child_tables(df, "j", ["id"])) == {r[0] for r in got}
+    assert nested.child_rows(df.limit(0), "j", ["id"]).count() == 0
+
+
+def test_queries_of_children(spark, log_table, tmp_path):
+    from logloom import catalog
+
+    rows = [{"structured": True, "raw_data": '{"env":[{"name":"a"}],"ports":[{"p":1}]}'}]
+    log_table(rows).write.parquet(f"{tmp_path}/loglines.parquet")
+    assert {(r.path, r.field, r.value) for r in catalog.QUERIES["p2_children"](spark, str(tmp_path)).collect()} == {("/env/*", "name", "a"), ("/ports/*", "p", "1")}
+    assert catalog.QUERIES["p2_containers"](spark, str(tmp_path)).count() == 0
+
+
 # --- layouts (5) ---
 
 MS = 1704258803000
