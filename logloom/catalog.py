@@ -314,7 +314,7 @@ def p6_found(spark, d):
 
 @query("p6_statistics")
 def p6_statistics(spark, d):
-    return drift.path_stats(table(spark, d, "pushes")).drop("words")
+    return drift.path_stats(table(spark, d, "pushes"))
 
 
 @query("p6_consistent_rows")

@@ -19,8 +19,6 @@ from logloom.operators.nested import parse
 from logloom.operators.ordered import previous
 from logloom.runtime import column_names, cut
 
-#: Distinct words of a field's values that are kept per file, those of least hash.
-SKETCH = 64
 #: Changed fields per bucket that are paired at a time, about.
 PAIRED = 5_000
 ID = re.compile(r"^([A-Za-z]+[-_])[0-9A-Fa-f-]*\d[0-9A-Fa-f-]*$")
@@ -67,13 +65,9 @@ def _values(v) -> Iterator[tuple[str | None, float | None]]:
                     yield x, None
 
 
-STATS = "source string, push_id string, path string, kind string, n bigint, words array<string>, least double, most double"
-
-
-def _least(words: set[str]) -> list[str]:
-    import xxhash
-
-    return sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:SKETCH]
+STATS = "source string, push_id string, path string, kind string, n bigint, least double, most double"
+#: (push, path, kind, word) rows that are made distinct at a time in Python.
+WORDS = 50_000
 
 
 def _load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,17 +81,35 @@ def _load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not isinstance(value, dict):
                 continue
             for path, v in flatten(value):
-                a = acc.setdefault((source, push, path, kind_of(v)), [0, set(), None, None])
+                a = acc.setdefault((source, push, path, kind_of(v)), [0, None, None])
                 a[0] += 1
-                for word, number in _values(v):
-                    if word is not None:
-                        a[1].add(word)
-                        if len(a[1]) > 4 * SKETCH:
-                            a[1] = set(_least(a[1]))
-                    elif number == number:
-                        a[2] = number if a[2] is None else min(a[2], number)
-                        a[3] = number if a[3] is None else max(a[3], number)
-        yield pd.DataFrame([(*k, n, _least(w), lo, hi) for k, (n, w, lo, hi) in acc.items()], columns=["source", "push_id", "path", "kind", "n", "words", "least", "most"])
+                for _, number in _values(v):
+                    if number is not None and number == number:
+                        a[1] = number if a[1] is None else min(a[1], number)
+                        a[2] = number if a[2] is None else max(a[2], number)
+        yield pd.DataFrame([(*k, *a) for k, a in acc.items()], columns=["source", "push_id", "path", "kind", "n", "least", "most"])
+
+
+def _load_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["source", "push_id", "path", "kind", "word"]
+    for pdf in parts:
+        seen: set[tuple] = set()
+        for source, push, text, paths in zip(pdf["source"], pdf["push_id"], pdf["raw_data"], pdf["paths"], strict=True):
+            try:
+                value = parse(text)
+            except ValueError:
+                continue
+            if not isinstance(value, dict):
+                continue
+            wanted = set(paths)
+            for path, v in flatten(value):
+                if path in wanted:
+                    seen.update((source, push, path, kind_of(v), word) for word, _ in _values(v) if word is not None)
+            if len(seen) >= WORDS:
+                yield pd.DataFrame(list(seen), columns=names)
+                seen = set()
+        if seen:
+            yield pd.DataFrame(list(seen), columns=names)
 
 
 def push_lines(pushes: DataFrame) -> DataFrame:
@@ -107,33 +119,42 @@ def push_lines(pushes: DataFrame) -> DataFrame:
 
 
 def path_stats(pushes: DataFrame) -> DataFrame:
-    """(source, push_id, path, kind, n, words, least, most): per file and path, how many values of
-    which type there are, a sketch of their words and id prefixes, and their range of numbers."""
+    """(source, push_id, path, kind, n, least, most): per file and path, how many values of which
+    type there are, and their range of numbers."""
     # ids pass through pandas as text, which keeps nulls and large numbers
     lines = push_lines(pushes).select("source", F.col("push_id").cast("string").alias("push_id"), "raw_data")
     parts = lines.mapInPandas(_load, STATS).withColumn("push_id", F.col("push_id").cast("bigint"))
-    return parts.groupBy("source", "push_id", "path", "kind").agg(
-        F.sum("n").alias("n"), F.flatten(F.collect_set("words")).alias("words"), F.min("least").alias("least"), F.max("most").alias("most")
-    ).withColumn("words", F.slice(F.transform(F.array_sort(F.transform(F.array_distinct("words"), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s.w), 1, SKETCH))
+    return parts.groupBy("source", "push_id", "path", "kind").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def path_words(pushes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_s, push_id, path, kind, word): the distinct words and id prefixes, all of them, of the
+    fields that ``wanted`` (_s, push_id, path) names; other pushes and fields are left out."""
+    paths = wanted.groupBy("_s", "push_id").agg(F.collect_set("path").alias("paths"))
+    lines = push_lines(pushes).withColumn("_s", F.coalesce("source", F.lit("\x00"))).join(paths, ["_s", "push_id"])
+    rows = lines.select(F.col("_s").alias("source"), F.col("push_id").cast("string").alias("push_id"), "raw_data", "paths")
+    found = rows.mapInPandas(_load_words, "source string, push_id string, path string, kind string, word string")
+    return found.select(F.col("source").alias("_s"), F.col("push_id").cast("bigint").alias("push_id"), "path", "kind", "word").distinct()
 
 
 def file_fields(pushes: DataFrame) -> DataFrame:
-    """One row per (source, push_id, path): the type most of its values have, with its sketch.
+    """One row per (source, push_id, path): the type most of its values have, with their range of numbers.
 
     Of equally frequent types the first by name holds.
     """
     s = path_stats(pushes)
     best = F.struct(-F.col("n"), F.col("kind"))
-    return s.groupBy("source", "push_id", "path").agg(*[F.min_by(c, best).alias(c) for c in ("kind", "words", "least", "most")])
+    return s.groupBy("source", "push_id", "path").agg(*[F.min_by(c, best).alias(c) for c in ("kind", "least", "most")])
 
 
-def alike(kind: str, a, b) -> float:
-    """How far two fields of one type hold the same kind of values, 0 to 1."""
-    wa, wb = set(a["words"] if a["words"] is not None else ()), set(b["words"] if b["words"] is not None else ())
+def alike(kind: str, a, b, shared: int) -> float:
+    """How far two fields of one type hold the same kind of values, 0 to 1; ``n_words`` of each
+    and ``shared`` count distinct words."""
+    wa, wb = a["n_words"], b["n_words"]
     if kind == "boolean":
         return 1.0
     if wa or wb:
-        return len(wa & wb) / max(1, min(len(wa), len(wb))) if wa and wb else 0.0
+        return shared / min(wa, wb) if wa and wb else 0.0
     if pd.isna(a["least"]) or pd.isna(b["least"]):
         return 0.0
     lo, hi = max(a["least"], b["least"]), min(a["most"], b["most"])
@@ -152,15 +173,16 @@ def _words_of(path: str) -> set[str]:
 CHANGES = "source string, push_id bigint, change_kind string, field_before string, field_after string"
 
 
-def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pair(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """The rows of some pushes, each with its fields gone and new of one type, best fits first."""
     out = []
+    common = {(s, p, x, y): n for s, p, x, y, n in zip(*[pairs[c] for c in ("_s", "push_id", "before", "after", "shared")], strict=True)}
     for _, own in pdf.groupby(["_s", "push_id", "kind"], sort=False):
         gone, new = own[own["side"] == "removed"].to_dict("records"), own[own["side"] == "added"].to_dict("records")
         fits = []
         for i, x in enumerate(gone):
             for j, y in enumerate(new):
-                if (score := alike(x["kind"], x, y)) >= 0.5:
+                if (score := alike(x["kind"], x, y, common.get((x["_s"], x["push_id"], x["path"], y["path"]), 0))) >= 0.5:
                     name = len(_words_of(x["path"]) & _words_of(y["path"])) > 0
                     fits.append((-(score + name), x["path"], y["path"], i, j))
         used_i, used_j = set(), set()
@@ -189,7 +211,7 @@ def changes(pushes: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("\x00")).alias("_s"), F.col("push_id").alias("_now"), F.col("prev_push_id").alias("_before")
     )
     f = file_fields(pushes).where("push_id IS NOT NULL").withColumn("_s", F.coalesce("source", F.lit("\x00")))
-    own = [F.struct("kind", "words", "least", "most").alias("_x")]
+    own = [F.struct("kind", "least", "most").alias("_x")]
     now = f.join(order.select("_s", F.col("_now").alias("push_id")), ["_s", "push_id"]).select("_s", "push_id", "path", *own)
     then = f.withColumnRenamed("push_id", "_before").join(order, ["_s", "_before"]).select("_s", F.col("_now").alias("push_id"), "path", *own)
     both = now.withColumnRenamed("_x", "_new").join(then.withColumnRenamed("_x", "_old"), ["_s", "push_id", "path"], "full")
@@ -199,17 +221,29 @@ def changes(pushes: DataFrame) -> DataFrame:
     retyped = both.where(same).select(source.alias("source"), "push_id", F.lit("retyped").alias("change_kind"), F.col("path").alias("field_before"), F.col("path").alias("field_after"))
     side = F.when(F.col("_new").isNotNull(), "added").otherwise("removed")
     x = F.coalesce("_new", "_old")
-    single = both.where(~same).select("_s", source.alias("source"), "push_id", "path", side.alias("side"), x["kind"].alias("kind"), x["words"].alias("words"), x["least"].alias("least"), x["most"].alias("most"))
+    single = both.where(~same).select("_s", source.alias("source"), "push_id", "path", side.alias("side"), x["kind"].alias("kind"), x["least"].alias("least"), x["most"].alias("most"))
     # only where a push both loses and gains fields of one type is there anything to pair
     per = Window.partitionBy("_s", "push_id", "kind")
     single = single.withColumn("_both", F.size(F.collect_set("side").over(per)) == 2)
     plain = single.where("NOT _both").select(
         "source", "push_id", F.col("side").alias("change_kind"), F.when(F.col("side") == "removed", F.col("path")).otherwise("").alias("field_before"), F.when(F.col("side") == "added", F.col("path")).otherwise("").alias("field_after")
     )
+    # words are counted exactly, of these pushes' fields only: a push's new ones and those gone from the push before
+    fields = single.where("_both AND kind IN ('string', 'array')").select("_s", "push_id", "path", "kind", "side")
+    gone = fields.where("side = 'removed'").join(order.select("_s", F.col("_now").alias("push_id"), "_before"), ["_s", "push_id"])
+    at = fields.where("side = 'added'").withColumn("_at", F.col("push_id")).unionByName(gone.withColumnRenamed("_before", "_at"))
+    at = cut(at)
+    words = path_words(pushes, at.select("_s", F.col("_at").alias("push_id"), "path")).withColumnRenamed("push_id", "_at")
+    words = cut(words.join(at, ["_s", "_at", "path", "kind"]).select("_s", "push_id", "kind", "side", "path", "word"))
+    n_words = words.groupBy("_s", "push_id", "kind", "side", "path").agg(F.count(F.lit(1)).alias("n_words"))
+    key = ["_s", "push_id", "kind", "word"]
+    before, after = [words.where(F.col("side") == x).select(*key, F.col("path").alias(name)) for x, name in (("removed", "before"), ("added", "after"))]
+    shared = before.join(after, key).groupBy("_s", "push_id", "before", "after").agg(F.count(F.lit(1)).alias("shared"))
     # a bucket of pushes at a time; what one push gains and loses is as much as its schema has, at most
     n = both.count()
-    bucket = F.pmod(F.xxhash64("_s", "push_id"), F.lit(max(1, -(-n // PAIRED))))
-    paired = single.where("_both").drop("_both").withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(lambda pdf: _pair(pdf), CHANGES).unionByName(plain)
+    bucket = F.pmod(F.xxhash64("_s", "push_id"), F.lit(max(1, -(-n // PAIRED)))).alias("_bucket")
+    single = single.where("_both").drop("_both").join(n_words, ["_s", "push_id", "kind", "side", "path"], "left").fillna(0, ["n_words"])
+    paired = single.select("*", bucket).groupBy("_bucket").cogroup(shared.select("*", bucket).groupBy("_bucket")).applyInPandas(lambda pdf, pairs: _pair(pdf, pairs), CHANGES).unionByName(plain)
     return retyped.unionByName(paired)
 
 

@@ -192,6 +192,19 @@ def test_changes(spark):
     assert drift.changes(p.limit(0)).count() == 0
 
 
+def test_renames_of_many_values(spark):
+    few = [{"old": f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x"} for i in range(40)]
+    many = [{"new": f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x"} for i in range(600)]
+    other = [{"third": f"o{chr(97 + i % 26)}{chr(97 + i // 26)}x"} for i in range(600)]
+    lists = [{"third": None, "l": [v["third"] for v in other]}]
+    moved = [{"m": [f"o{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300, 2000)]}]
+    p = pushes(spark, (1, "s", [(10, x) for x in few]), (2, "s", [(20, x) for x in many]), (3, "s", [(30, x) for x in other]), (4, "s", [(40, x) for x in lists]), (5, "s", [(50, x) for x in moved]))
+    assert tuples(drift.changes(p)) == sorted([
+        ("s", 2, "renamed", "old", "new"), ("s", 3, "removed", "new", ""), ("s", 3, "added", "", "third"),
+        ("s", 4, "removed", "third", ""), ("s", 4, "added", "", "l"), ("s", 5, "renamed", "l", "m"),
+    ], key=repr)
+
+
 def test_consistent_table(spark):
     p = pushes(spark, (1, "s", [(1, {"a": 1, "b": {"c": "x"}}), (2, {"a": "no", "B.C": True}), (3, "{bad"), (4, {"a": 2})]))
     types = drift.column_types(p)
