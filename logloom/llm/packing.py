@@ -52,7 +52,7 @@ class Windows:
 
 def pack_bucket(sizes: list[int], capacity: int, windows: int, last: bool) -> tuple[list[int], list[int], list[bool]]:
     """(container, used, open) of each item: online in the given order; in the last round, which
-    has few items, the largest first with every window open."""
+    has leftovers only, the largest first with every window open."""
     w = Windows(capacity, len(sizes) + 1 if last else windows)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i]) if last else range(len(sizes))
     for i in order:
@@ -65,10 +65,11 @@ def pack_bucket(sizes: list[int], capacity: int, windows: int, last: bool) -> tu
     return of, used, opened
 
 
-def _round(items: DataFrame, number: int, windows: int, most: int) -> tuple[DataFrame, int]:
+def _round(items: DataFrame, number: int, windows: int, most: int) -> tuple[DataFrame, int, bool]:
     n = items.groupBy("pack_id").count().agg(F.max("count")).first()[0] or 0
     buckets = min(most, max(1, -(-n // BUCKET)))
-    last = buckets == 1
+    # the first round is online whatever the input's size
+    last = number > 0 and buckets == 1
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "row", "piece_no"])
@@ -80,7 +81,7 @@ def _round(items: DataFrame, number: int, windows: int, most: int) -> tuple[Data
 
     h = F.xxhash64("row", F.lit(number))
     keyed = items.withColumn("_h", h).withColumn("_b", F.pmod(h, F.lit(buckets)))
-    return cut(keyed.groupBy("pack_id", "_b").applyInPandas(pack, OUT)), buckets
+    return cut(keyed.groupBy("pack_id", "_b").applyInPandas(pack, OUT)), buckets, last
 
 
 def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFrame:
@@ -106,11 +107,11 @@ def pack(sizes: DataFrame, specs: DataFrame, windows: int = WINDOWS) -> DataFram
     full = full.select("*", (-(F.monotonically_increasing_id() + 1)).alias("container_no"), F.col("n_tokens").alias("container_tokens"), F.lit(False).alias("open"))
     rest = F.col("_n") - whole * F.col("capacity")
     items = all_of.where((rest > 0) | (F.col("_n") == 0)).select("pack_id", "capacity", "row", "doc_id", whole.alias("piece_no"), rest.alias("n_tokens"))
-    done, number, buckets = [full], 0, 1 << 27
-    while buckets:
+    done, number, most, last = [full], 0, 1 << 27, False
+    while not last:
+        packed, buckets, last = _round(items, number, windows, most)
         # at most half the buckets of the round before, also where containers are larger than buckets
-        packed, buckets = _round(items, number, windows, buckets)
-        buckets //= 2
+        most = max(1, buckets // 2)
         done.append(packed.where("NOT open"))
         items, number = packed.where("open").drop("container_no", "container_tokens", "open"), number + 1
     out = done[0]

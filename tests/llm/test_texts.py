@@ -72,6 +72,13 @@ def test_packing_edges(spark):
     assert packing.pack(same.limit(0), spec).count() == 0 and packing.pack(same, spec.limit(0)).count() == 0
 
 
+def test_one_bucket_is_packed_online_first(spark):
+    df = sizes_of(spark, [6] * 51 + [3] * 50)
+    got = packing.pack(df, spark.createDataFrame([(1, 10)], SPECS), windows=1).collect()
+    assert len(got) == 101 and {r.container_no >> 56 for r in got} == {0, 1}  # the rounds
+    assert len({r.container_no for r in got}) > 51  # largest first over all items makes 51
+
+
 def test_windows_emit_the_fullest():
     of, used, opened = packing.pack_bucket([6, 5, 7, 4], 10, 2, False)
     # 6 and 5 open the two windows; 7 fits in none: the fuller (6) goes; 4 fits best beside 5
