@@ -269,6 +269,16 @@ def p2_found(spark, d):
     return nested.nested_objects(lines, "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")
 
 
+@query("p2_method")
+def p2_method(spark, d):
+    # the rows of p2_found by the child tables of the merged schema
+    lines = logs(spark, d).where("structured")
+    out = nested.nested_objects(lines.limit(0), "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")
+    for t in nested.child_tables(lines, "raw_data", ["source", "seq"]).values():
+        out = out.unionByName(t.select("source", "seq", "pointer", "parent"))
+    return out
+
+
 @query("p2_schema")
 def p2_schema(spark, d):
     return nested.merged_schema(logs(spark, d).where("structured"), F.col("raw_data"))

@@ -115,6 +115,7 @@ def test_queries_of_children(spark, log_table, tmp_path):
     log_table(rows).write.parquet(f"{tmp_path}/loglines.parquet")
     assert {(r.path, r.field, r.value) for r in catalog.QUERIES["p2_children"](spark, str(tmp_path)).collect()} == {("/env/*", "name", "a"), ("/ports/*", "p", "1")}
     assert catalog.QUERIES["p2_containers"](spark, str(tmp_path)).count() == 0
+    assert tuples(catalog.QUERIES["p2_method"](spark, str(tmp_path))) == tuples(catalog.QUERIES["p2_found"](spark, str(tmp_path))) != []
 
 
 # --- layouts (5) ---
