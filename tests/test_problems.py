@@ -164,6 +164,12 @@ def test_templates(spark):
     assert any("above watermark" in r.template for r in t.collect())
 
 
+def test_partitioning_is_registered():
+    from logloom import catalog
+
+    assert catalog.QUERIES["p5_method"] is catalog.QUERIES["p5_templates"]
+
+
 # --- drift (6) ---
 
 
