@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import jsonpath
 from logloom.functions.text import index_terms, stop_words
-from logloom.operators.ordered import RANGE, fixed, join_keys, over_ranges, within
+from logloom.operators.ordered import join_keys, row_numbers
 from logloom.schema import COLUMNS, LINE, PUSH
 
 
@@ -29,15 +29,11 @@ def with_seq(lines: DataFrame, order: list[str], last: DataFrame | None = None)
     """Add ``seq``: the ingestion order within a source, from 1, or from after the (source, seq)
     of ``last``. Rows equal in order are numbered in any order; a source of any size is numbered
     by ranges."""
-    x = fixed(lines, ["source"], order)
-    x = x.withColumn("_rn", F.row_number().over(within(["source"], order)))
-    counts = x.groupBy(RANGE, "source").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.withColumn("_base", F.sum("_n").over(over_ranges(["source"])) - F.col("_n")).drop("_n")
-    x = join_keys(x, base, [RANGE, "source"]).withColumn("seq", F.col("_rn") + F.col("_base"))
+    x = row_numbers(lines, ["source"], order, "seq")
     if last is not None:
         before = last.groupBy("source").agg(F.max("seq").alias("_last"))
         x = join_keys(x, before, ["source"]).withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0))).drop("_last")
-    return x.drop("_rn", "_base", RANGE)
+    return x
 
 
 def derived(lines: DataFrame, always: bool = False, stemmed: bool = True) -> DataFrame:
