@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.ordered import RANGE, ranged, within
+from logloom.operators.ordered import RANGE, Ranges, within
 from logloom.runtime import cut
 
 # fixed values: patterns of what changes with each emission
@@ -67,7 +67,8 @@ def runs(df: DataFrame, max_gap: int = 600) -> DataFrame:
     what = F.coalesce(said(F.col("raw_data")), F.lit("\x00"))
     narrow = df.select(F.col("source"), F.col("ts").cast("bigint").alias("ts"), F.col("seq").cast("bigint").alias("seq"), what.alias("_s"))
     narrow = narrow.select("source", "ts", "seq", F.xxhash64("_s").alias("_a"), F.xxhash64(F.lit(1), "_s").alias("_b"))
-    rows = ranged(cut(narrow), ["source"], ["ts", "seq"])
+    narrow = cut(narrow)
+    rows = Ranges(narrow, ["source"], ["ts", "seq"]).over(narrow)
     w = within(["source"], ["ts", "seq", "_a", "_b"])
     one = F.struct("ts", "seq", "_a", "_b")
     rows = rows.withColumns({"_prev": F.lag(one).over(w), "_pos": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(RANGE, "source"))})
