@@ -311,7 +311,6 @@ def p5_tail_entries(spark, d):
     return layouts.tail_entries(table(spark, d, "taillines"), with_message=True)
 
 
-@query("p5_method")
 @query("p5_templates")
 def p5_templates(spark, d):
     lines = logs(spark, d).where("NOT structured").select(layouts.first_line(F.col("raw_data")).alias("line"))

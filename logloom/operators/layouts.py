@@ -2,14 +2,20 @@
 
 Lines are reduced to signatures (decoration off, digit runs as ``#``). The table of distinct
 signatures is split by token count, then by the values of each partition's least-variable
-position, then by the bijections between two positions, and last by the shapes of the head's
-tokens where these still differ. Every leaf gives a template: a constant, a token shape or ``*``
-per position. The template tells the leaf's layout, and with it which slots hold time, level,
-component and message; lines are cut by the slots of their leaf.
+position, then by the bijections between two positions; partitions whose head positions still hold
+values of several kinds go through the last two steps again. Every leaf gives a template: its
+constants and variable slots. What a slot of the head holds - date, time, zone, level, component,
+number, words - is inferred from the values that the leaf's signatures have there, and from the
+order of these slots follows the pattern by which the leaf's lines are cut. There is no list of
+layouts: a program's layout is whatever its leaves show.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,29 +23,15 @@ from logloom.operators.ordered import running_max
 from logloom.runtime import cut
 
 ANSI = r"\x1B\[[0-9;]*[A-Za-z]"
-#: Tokens of a template that make its head.
-HEAD = 6
+#: Tokens of a template among which its head is looked for.
+HEAD = 8
 #: A partition with at least this share of constant positions isn't split by bijections.
 GOOD = 0.6
 #: Of a one-to-many relation, the many side is variable above this share of distinct tokens per line.
 VARIABLE = 0.5
 
-_DATE, _TIME, _ZONE = r"(\d{4})-(\d\d)-(\d\d)", r"(\d\d:\d\d:\d\d)", r"(Z|[+-]\d\d:\d\d)"
-#: What a layout's slots give, in this order.
+#: What the slots of a head give, in this order.
 SLOTS = ["year", "month", "day", "time", "fraction", "zone", "level", "component", "priority", "seconds", "message"]
-# fixed values: per layout, the head of its templates (A capitals, a other letters, # digits), the
-# pattern of its slots, and which group each slot is
-LAYOUTS: dict[str, tuple[str, str, dict[str, str]]] = {
-    "klog": (r"^A# #:#:#\.# # \S+:#\]", r"([A-Z])(\d\d)(\d\d) " + _TIME + r"\.(\d+) +\d+ ([^\s:]+):\d+\] ?(.*)", {"level": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "component": "$6", "message": "$7"}),
-    "logfmt": (r'^a="#-#-#A#:#:#(\.#)?(A|[+-]#:#)" a=\S+', r'time="' + _DATE + "T" + _TIME + r"(?:\.(\d+))?" + _ZONE + r'" level=(\w+) (?:msg="?)?(.*?)"?(?: module=(\S+))?\s*', {"year": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "zone": "$6", "level": "$7", "message": "$8", "component": "$9"}),
-    "bracketed": (r"^#-#-# #:#:#,# \[", _DATE + " " + _TIME + r",(\d+) \[([^\]]*?)\s*\]\[(\w+)\s*\]\[\d+\] ?(.*)", {"year": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "component": "$6", "level": "$7", "message": "$8"}),
-    "piped": (r"^#-#-# #:#:#\.# A \|", _DATE + " " + _TIME + r"\.(\d+) ([A-Z]) \| ([^:\s]+): ?(.*)", {"year": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "level": "$6", "component": "$7", "message": "$8"}),
-    "threaded": (r"^#-#-#A#:#:#\.#(A|[+-]#:#) A \[", _DATE + "T" + _TIME + r"\.(\d+)" + _ZONE + r" +(\w+) +\[[^\]]*\] (\S+) - ?(.*)", {"year": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "zone": "$6", "level": "$7", "component": "$8", "message": "$9"}),
-    "parenthesised": (r"^\[A?a?\] \(\S+\) #/Aa/#:#:#:#( |$)", r"\[(\w+)\] \(([^)\s]+)\) (\d\d)/(\w{3})/(\d{4}):" + _TIME + r"(?: ([+-]\d\d):?(\d\d))? ?(.*)", {"level": "$1", "component": "$2", "day": "$3", "month": "$4", "year": "$5", "time": "$6", "zone": "$7:$8", "message": "$9"}),
-    "epoch": (r"^\[#\.#\] \S+/a:", r"\[(\d+)\.(\d+)\] ([^\s/]+)/(\w+): ?(.*)", {"seconds": "$1", "fraction": "$2", "component": "$3", "level": "$4", "message": "$5"}),
-    "syslog": (r"^(<#>)?Aa # #:#:# \S+ \S+(\[#\])?:", r"(?:<(\d+)>)?([A-Z][a-z]{2}) +(\d{1,2}) " + _TIME + r" \S+ ([^\s\[:]+)(?:\[\d+\])?: ?(.*)", {"priority": "$1", "month": "$2", "day": "$3", "time": "$4", "component": "$5", "message": "$6"}),
-    "audit": (r"^#-#-#A#:#:#\.#A A:", _DATE + "T" + _TIME + r"\.(\d+)" + _ZONE + r" AUDIT: ?(.*)", {"year": "$1", "month": "$2", "day": "$3", "time": "$4", "fraction": "$5", "zone": "$6", "component": "AUDIT", "message": "$7"}),
-}
 LEVELS = {
     "DEBUG": ["trace", "debug", "dbg", "t", "d"],
     "INFO": ["info", "notice", "information", "i", "n"],
@@ -50,18 +42,39 @@ LEVELS = {
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
+# kinds of what a token holds, as Greek letters (which texts lose before): date, time, zone, day with
+# month name and time, month name, level, single capital, word
+_MONTH, _LEVEL = "|".join(MONTHS), "|".join(w for ws in LEVELS.values() for w in ws if len(w) > 1)
+KINDS = [
+    (r"(?<![\p{L}#])#/(?:" + _MONTH + r")/#:#:#:#", "κ"),
+    (r"(?<![\p{L}#/.-])#([-/])#\1#(?![/.#-])", "δ"),
+    (r"(?:(?<![\p{L}#:])|(?<=δT))#:#:#(?:[.,]#)?(?![#:])", "τ"),
+    ("δTτ", "δτ"),
+    (r"(?<=τ)(?:Z|[+-]#(?::#)?)|(?<= )[+-]#(?::#)?(?= |$)", "ζ"),
+    (r"(?<![\p{L}#])(?:" + _MONTH + r")(?![\p{L}#=])", "μ"),
+    (r"(?<![\p{L}#_.-])(?i:" + _LEVEL + r")(?![\p{L}#_.=-])", "λ"),
+    (r"(?<![\p{L}#_.-])\p{Lu}(?![\p{L}_.=-])", "α"),
+    (r"(?:(?![δτζκμλα])[\p{L}_$@])(?:(?![δτζκμλα])[\p{L}_$@#.-])*+(?![=])", "ω"),
+]
+
+
 def first_line(text: Column) -> Column:
     """The first line without terminal decoration."""
     return F.regexp_replace(F.regexp_extract(text, r"^[^\r\n]*", 0), ANSI, "")
 
 
 def signature(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+", " "))
+    """The line with digit runs as # and single spaces, none before a closing bracket."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+(?=\])|(\s)\s*", "$1"))
 
 
-def shape(text: Column) -> Column:
-    """Of a signature's text, runs of capitals as A and of other letters as a."""
-    return F.translate(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "\x01"), r"\p{L}+", "a"), "\x01", "A")
+def kinds(sig: Column) -> Column:
+    """The kinds of a signature's first tokens, punctuation and the names of key=value kept."""
+    letters = "δτζκμλαω"
+    out = F.translate(F.array_join(F.slice(F.split(sig, " "), 1, HEAD), " "), letters, "x" * len(letters))
+    for pattern, letter in KINDS:
+        out = F.regexp_replace(out, pattern, letter)
+    return F.split(out, " ")
 
 
 def tokens() -> Column:
@@ -69,9 +82,9 @@ def tokens() -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(sig, lines): the distinct signatures of a column ``line``; none for null."""
+    """(sig, lines, kinds): the distinct signatures of a column ``line``; none for null."""
     s = lines.select(signature(F.col("line")).alias("sig")).where("sig IS NOT NULL")
-    return s.groupBy("sig").agg(F.count(F.lit(1)).alias("lines"))
+    return s.groupBy("sig").agg(F.count(F.lit(1)).alias("lines")).withColumn("kinds", kinds(F.col("sig")))
 
 
 def _hashed(sigs: DataFrame) -> DataFrame:
@@ -89,9 +102,11 @@ def by_count(sigs: DataFrame) -> DataFrame:
     return sigs.withColumn("part", F.xxhash64(F.size(tokens())))
 
 
-def by_least_variable(sigs: DataFrame) -> DataFrame:
-    """Step 2: split by the tokens of the position with the fewest distinct ones (at least two)."""
+def by_least_variable(sigs: DataFrame, within: int | None = None) -> DataFrame:
+    """Step 2: split by the tokens of the position with the fewest distinct ones (at least two), of
+    the first ``within`` positions if given."""
     c = _cardinalities(sigs).where("distinct > 1")
+    c = c if within is None else c.where(F.col("pos") < within)
     best = c.groupBy("part").agg(F.min_by("pos", F.struct("distinct", "pos")).alias("_p"))
     out = sigs.join(best, "part", "left")
     tok = F.when(F.col("_p").isNotNull(), F.try_element_at(tokens(), F.col("_p") + 1))
@@ -125,35 +140,245 @@ def by_bijection(sigs: DataFrame) -> DataFrame:
     return x.join(split, ["part", "_t1", "_t2"], "left").withColumn("part", F.xxhash64("part", F.coalesce("_key", F.lit(0)))).select(*sigs.columns)
 
 
-def by_head(sigs: DataFrame) -> DataFrame:
-    """Last step: partitions whose head still holds different token shapes are split by these;
-    ``head`` is the shapes of the leaf's head."""
-    x = sigs.withColumn("head", shape(F.array_join(F.slice(tokens(), 1, HEAD), " ")))
-    return x.withColumn("part", F.xxhash64("part", "head"))
-
-
-def layout_of(head: Column) -> Column:
-    """The layout whose template the head of a leaf shows; null if none."""
-    layout = F.lit(None).cast("string")
-    for name, (pattern, _, _) in reversed(LAYOUTS.items()):
-        layout = F.when(head.rlike(pattern), name).otherwise(layout)
-    return layout
-
+class Mixed(Exception):
+    """A slot of the head holds values of several kinds."""
+
+
+class _Pattern:
+    """A regular expression under construction and which of its groups is which slot."""
+
+    def __init__(self):
+        self.text, self.slots, self.n = "", {}, 0
+
+    def add(self, text: str, *slots: str) -> None:
+        self.text += text
+        for name in slots:
+            self.n += 1
+            self.slots[name] = f"${self.n}"
+
+    def space(self) -> None:
+        self.text += " +" if self.text else ""
+
+    def cutter(self) -> str:
+        return "\x02" + "\x01".join(self.slots.get(x, "") for x in SLOTS)
+
+
+_CLOCK, _OFFSET = r"(\d\d:\d\d:\d\d)(?:[.,](\d+))?", r"(Z|[+-]\d\d:?(?:\d\d)?)"
+_GROUP = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|<([^<>]*)>")
+
+
+def _stamp(p: _Pattern, at, i: int) -> int | None:
+    """Adds the time that begins at slot ``i``; the slot after it, None if none begins there."""
+    t = at(i) or ""
+    p.space()
+    if m := re.fullmatch(r"([A-Za-z_.@-]+=\"?|[\[(])?δτ(ζ?)([\"\])]?[:,]?)", t):
+        p.add(re.escape(m[1] or "") + r"(\d{4})[-/](\d\d)[-/](\d\d)T" + _CLOCK, "year", "month", "day", "time", "fraction")
+        if m[2]:
+            p.add(_OFFSET, "zone")
+        p.add(re.escape(m[3]))
+        return i + 1
+    if (m := re.fullmatch(r"([\[(]?)δ", t)) and (n := re.fullmatch(r"τ(ζ?)([\])]?[:,]?)", at(i + 1) or "")):
+        p.add(re.escape(m[1]) + r"(\d{4})[-/](\d\d)[-/](\d\d) +" + _CLOCK, "year", "month", "day", "time", "fraction")
+        if n[1]:
+            p.add(_OFFSET, "zone")
+        p.add(re.escape(n[2]))
+        i += 2
+    elif t == "κ":
+        p.add(r"(\d\d)/(\w{3})/(\d{4}):(\d\d:\d\d:\d\d)", "day", "month", "year", "time")
+        i += 1
+    elif (m := re.fullmatch("(<#>)?μ", t)) and at(i + 1) == "#" and at(i + 2) == "τ":
+        if m[1]:
+            p.add(r"<(\d+)>", "priority")
+        p.add(r"([A-Z][a-z]{2}) +(\d{1,2}) +" + _CLOCK, "month", "day", "time", "fraction")
+        return i + 3
+    elif t == "α#" and at(i + 1) == "τ":
+        p.add(r"([A-Z])(\d\d)(\d\d) +" + _CLOCK, "level", "month", "day", "time", "fraction")
+        return i + 2
+    elif t == "[#.#]":
+        p.add(r"\[(\d{9,11})\.(\d+)\]", "seconds", "fraction")
+        return i + 1
+    else:
+        return None
+    if at(i) == "ζ":
+        p.add(" +" + _OFFSET, "zone")
+        i += 1
+    return i
+
+
+def _grouped(p: _Pattern, t: str) -> bool:
+    """Adds a slot of bracketed groups: level, component, numbers; False if it is none."""
+    if not re.fullmatch(rf"(?:{_GROUP.pattern})+:?", t):
+        return False
+    for m in _GROUP.finditer(t):
+        what = next(x for x in m.groups() if x is not None)
+        open_, close = re.escape(m[0][0]), re.escape(m[0][-1])
+        if what == "λ" and "level" not in p.slots:
+            p.add(rf"{open_}(\w+)\s*{close}", "level")
+        elif "ω" in what and "component" not in p.slots:
+            p.add(rf"{open_}([^{close}]*?)\s*{close}", "component")
+        else:
+            p.add(rf"{open_}[^{close}]*{close}")
+    p.add(":?" if t.endswith(":") else "")
+    return True
+
+
+def derive(low: list[str], high: list[str]) -> tuple[str, str] | None:
+    """(pattern, cutter) of a leaf by the kinds of its slots, None if it shows no head with a time.
+
+    ``low`` and ``high`` are the least and greatest kind at each slot; where they differ the leaf
+    holds several kinds, and if the head reaches there, ``Mixed`` is raised.
+    """
 
-def templates(sigs: DataFrame) -> DataFrame:
-    """(part, template, head, layout): per leaf its slots (a constant, or ``*``), the shapes of its
-    head and its layout."""
+    def at(i: int) -> str | None:
+        if i >= min(len(low), len(high)):
+            if len(low) != len(high):
+                raise Mixed
+            return None
+        if low[i] != high[i]:
+            raise Mixed
+        return low[i]
+
+    p, i = _Pattern(), 0
+    while (j := _stamp(q := _copy(p), at, i)) is None:
+        # only bracketed slots and a level may come before the time
+        p.space()
+        t = at(i)
+        if i >= 3 or t is None:
+            return None
+        if re.fullmatch("λ:?", t) and "level" not in p.slots:
+            p.add(r"(\w+)" + t[1:], "level")
+        elif not _grouped(p, t):
+            return None
+        i += 1
+    p, i = q, j
+    keyed, first = "=" in low[0], i
+    while (t := at(i)) is not None:
+        has_level, has_component = "level" in p.slots, "component" in p.slots
+        if keyed and (m := re.fullmatch(r'([A-Za-z_.@-]+)=(.*)', t)):
+            if re.fullmatch("\"?λ\"?", m[2]) and not has_level:
+                p.add(" +" + re.escape(m[1]) + '="?(\\w+)"?', "level")
+            elif m[1] in ("msg", "message"):
+                break
+            else:
+                p.add(r" +\S+")
+        elif has_level and has_component and not _SEPARATOR.fullmatch(t):
+            break
+        elif re.fullmatch("λ:?", t) and not has_level:
+            p.add(r" +(\w+)" + t[1:], "level")
+        elif t == "α" and at(i + 1) == "|" and not has_level:
+            p.add(" +([A-Z])", "level")
+        elif _SEPARATOR.fullmatch(t) and i > first:
+            p.add(" +" + re.escape(t))
+            if has_component:
+                i += 1
+                break
+        elif t == "#" and not has_component:
+            p.add(r" +\d+")
+        elif t[0] in "[(<" and not has_component and _GROUP.match(t):
+            if re.fullmatch(r"[\[(<]ω[\])>]", t) and at(i + 1) == "ω" and at(i + 2) == "-":
+                p.add(r" +\S+")  # a thread's name, the component comes after it
+            else:
+                p.add(" +")
+                if not _grouped(p, t):
+                    p.text = p.text[:-2]
+                    break
+        elif has_component:
+            break
+        elif t == "ω:#]":
+            p.add(r" +([^\s:]+):\d+\]", "component")
+            i += 1
+            break
+        elif t == "ω/λ:":
+            p.add(r" +([^\s/]+)/(\w+):", "component", "level")
+            i += 1
+            break
+        elif t in ("ω:", "ω[#]:"):
+            p.add(r" +([^\s\[:]+)(?:\[\d+\])?:", "component")
+            i += 1
+            break
+        elif t == "ω" and at(i + 1) == "-":
+            p.add(r" +(\S+) +-", "component")
+            i += 2
+            break
+        elif t == "ω" and not has_level and re.fullmatch(r"\[?λ\]?", at(i + 1) or ""):
+            p.add(r" +(\S+)", "component")
+        elif t == "ω" and i == first and not has_level and at(i + 1) in ("ω:", "ω[#]:", "ω/λ:"):
+            p.add(r" +\S+")  # a host's name
+        else:
+            break
+        i += 1
+    if keyed:
+        p.add(r' *(?:(?:msg|message)=)?"?(.*?)"?(?: (?:module|logger|component)="?([^\s"]+)"?)?\s*', "message", *(["component"] if "component" not in p.slots else []))
+    else:
+        p.add(" ?(.*)", "message")
+    return f"(?s)^{p.text}$", p.cutter()
+
+
+_SEPARATOR = re.compile(r"[|-]|--|::?|>>?")
+
+
+def _copy(p: _Pattern) -> _Pattern:
+    q = _Pattern()
+    q.text, q.slots, q.n = p.text, dict(p.slots), p.n
+    return q
+
+
+def _derived(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        out = []
+        for part, low, high in zip(pdf["part"], pdf["low"], pdf["high"], strict=True):
+            trim = lambda ks: [k for k in ks if k is not None]
+            try:
+                got = derive(trim(low), trim(high))
+            except Mixed:
+                out.append((part, True, None, None))
+            else:
+                out.append((part, False, *(got or (None, None))))
+        yield pd.DataFrame(out, columns=["part", "mixed", "pattern", "cutter"])
+
+
+def heads_of(sigs: DataFrame) -> DataFrame:
+    """(part, mixed, pattern, cutter): per leaf how its lines are cut; null where it shows no head,
+    and where it is mixed."""
+    ends = [f(F.get("kinds", F.lit(i))).alias(f"{n}{i}") for i in range(HEAD) for n, f in (("l", F.min), ("h", F.max))]
+    x = sigs.groupBy("part").agg(*ends)
+    # a slot that some signature lacks is mixed: by_count keeps these apart
+    x = x.select("part", F.array(*[f"l{i}" for i in range(HEAD)]).alias("low"), F.array(*[f"h{i}" for i in range(HEAD)]).alias("high"))
+    return x.mapInPandas(_derived, "part bigint, mixed boolean, pattern string, cutter string")
+
+
+def leaves(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaf of every distinct signature of a column ``line`` (sig, lines, kinds, part), and the
+    leaves' heads (part, mixed, pattern, cutter).
+
+    Mixed partitions are split again by one further head position each round, so that after
+    ``HEAD`` rounds none is left.
+    """
+    sigs = cut(signatures(lines))
+    now = cut(by_bijection(cut(by_least_variable(by_count(sigs)))))
+    done: list[tuple[DataFrame, DataFrame]] = []
+    for _ in range(HEAD + 1):
+        found = cut(heads_of(now))
+        done.append((now.join(found.where("NOT mixed").select("part"), "part", "left_semi"), found.where("NOT mixed")))
+        if found.where("mixed").isEmpty():
+            break
+        rest = now.join(found.where("mixed").select("part"), "part", "left_semi")
+        now = cut(by_bijection(cut(by_least_variable(rest, HEAD))))
+    out, heads = done[0]
+    for more, more_heads in done[1:]:
+        out, heads = out.unionByName(more), heads.unionByName(more_heads)
+    return out, heads
+
+
+def templates(found: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(part, template, lines, pattern): per leaf its slots (a constant, or ``*``), how many lines
+    it has and the pattern that cuts them (null without head)."""
+    sigs, heads = found
     same = _hashed(sigs).groupBy("part", "pos").agg((F.min("tok") == F.max("tok")).alias("same"))
     same = same.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("pos", "same"))).alias("_s"))
-    one = sigs.groupBy("part").agg(F.min("sig").alias("sig"), F.min("head").alias("head")).join(same, "part")
-    slots = F.zip_with(tokens(), "_s", lambda t, s: F.when(s["same"], t).otherwise("*"))
-    return one.select("part", F.array_join(slots, " ").alias("template"), "head", layout_of(F.col("head")).alias("layout"))
-
-
-def leaves(lines: DataFrame) -> DataFrame:
-    """(sig, part, head, lines): the leaf of every distinct signature of a column ``line``."""
-    sigs = cut(signatures(lines))
-    return cut(by_head(by_bijection(cut(by_least_variable(by_count(sigs))))))
+    one = sigs.groupBy("part").agg(F.min("sig").alias("sig"), F.sum("lines").alias("lines")).join(same, "part").join(heads.select("part", "pattern"), "part", "left")
+    constants = F.zip_with(tokens(), "_s", lambda t, s: F.when(s["same"], t).otherwise("*"))
+    return one.select("part", F.array_join(constants, " ").alias("template"), "lines", "pattern")
 
 
 def _level(word: Column) -> Column:
@@ -185,12 +410,9 @@ def _month(name: Column) -> Column:
     return F.when(at > 0, F.lpad(at.cast("string"), 2, "0")).otherwise(name)
 
 
-def slots(line: Column, layout: Column) -> Column:
-    """The texts of a line's slots in order of ``SLOTS``; null where it doesn't fit its layout."""
-    out = F.lit(None).cast("string")
-    for name, (_, pattern, groups) in LAYOUTS.items():
-        cut_up = F.regexp_replace(line, f"(?s)^{pattern}$", "\x02" + "\x01".join(groups.get(s, "") for s in SLOTS))
-        out = F.when(layout == name, cut_up).otherwise(out)
+def slots(line: Column, pattern: Column, cutter: Column) -> Column:
+    """The texts of a line's slots in order of ``SLOTS``; null where it doesn't fit its leaf's pattern."""
+    out = F.regexp_replace(line, pattern, cutter)
     return F.when(out.startswith("\x02"), F.split(F.substring(out, 2, 1 << 30), "\x01", len(SLOTS)))
 
 
@@ -198,7 +420,7 @@ def fields(got: Column, ts: Column) -> Column:
     """struct(entry_ms, level, component, message) of a line's slots."""
     of = {s: got[i] for i, s in enumerate(SLOTS)}
     year = F.when(of["year"] == "", _year(ts)).otherwise(of["year"])
-    zone = F.when(of["zone"].isin("", ":"), "Z").otherwise(of["zone"])
+    zone = F.when(of["zone"] == "", "Z").otherwise(F.regexp_replace(of["zone"], r"^([+-]\d\d):?(\d\d)$", "$1:$2"))
     day = F.concat_ws("-", year, _month(of["month"]), F.lpad(of["day"], 2, "0"))
     frac = _fraction(of["fraction"])
     iso = _millis(F.concat(day, F.lit("T"), of["time"], F.lit("."), frac, zone))
@@ -226,14 +448,14 @@ def heads(rows: DataFrame) -> DataFrame:
     no time and are left out before the exchange.
     """
     some = rows.where(F.col("line").rlike(r"\d:\d|\d{9}")).withColumn("sig", signature(F.col("line")))
-    found = leaves(some.select("line"))
-    # of a leaf's template the head tells the layout, and all its members share that
-    laid = found.select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), layout_of(F.col("head")).alias("layout")).where("layout IS NOT NULL")
+    sigs, cutters = leaves(some.select("line"))
+    laid = sigs.join(cutters.where("pattern IS NOT NULL").select("part", "pattern", "cutter"), "part")
+    laid = laid.select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), "pattern", "cutter")
     keyed = some.withColumns({"_a": F.xxhash64("sig"), "_b": F.xxhash64(F.lit(1), "sig")}).drop("sig")
     out = keyed.join(laid, ["_a", "_b"])
     # the generator keeps the optimizer from copying the slots' patterns into each of their uses
-    out = out.withColumn("_got", F.explode(F.array(slots(F.col("line"), F.col("layout"))))).where("_got IS NOT NULL")
-    return out.withColumn("f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_got")
+    out = out.withColumn("_got", F.explode(F.array(slots(F.col("line"), F.col("pattern"), F.col("cutter"))))).where("_got IS NOT NULL")
+    return out.withColumn("f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_got", "pattern", "cutter")
 
 
 def log_rows(lines: DataFrame) -> DataFrame:
@@ -247,13 +469,13 @@ def tail_rows(tail: DataFrame) -> DataFrame:
 
 
 def log_entries(lines: DataFrame) -> DataFrame:
-    """(source, seq, layout, entry_ms, level, component, message): every text row of the log table
+    """(source, seq, entry_ms, level, component, message): every text row of the log table
     whose first line carries its own time; the message keeps the further lines.
 
     Null text, headless text and structured rows give none; a head with an impossible date is no
     head. Rows equal in all columns each give a row.
     """
-    return heads(log_rows(lines)).select("source", F.col("pos").alias("seq"), "layout", "f.entry_ms", "f.level", "f.component", F.concat("f.message", "rest").alias("message"))
+    return heads(log_rows(lines)).select("source", F.col("pos").alias("seq"), "f.entry_ms", "f.level", "f.component", F.concat("f.message", "rest").alias("message"))
 
 
 def tail_heads(tail: DataFrame, found: DataFrame) -> DataFrame:

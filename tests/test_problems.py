@@ -158,16 +158,33 @@ def test_tail_entries(spark):
 
 def test_templates(spark):
     df = spark.createDataFrame([(f"[170425880{i}.1] c{i}/err: disk d{'abc'[i % 3]} above watermark",) for i in range(6)] + [("heart beat 1",)], "line string")
-    found = layouts.leaves(df)
-    t = layouts.templates(found)
-    assert {r.layout for r in t.collect()} == {"epoch", None}
-    assert any("above watermark" in r.template for r in t.collect())
+    t = layouts.templates(layouts.leaves(df)).collect()
+    assert {bool(r.pattern) for r in t} == {True, False} and sum(r.lines for r in t) == 7
+    assert any("above watermark" in r.template for r in t)
 
 
-def test_partitioning_is_registered():
-    from logloom import catalog
+UNSEEN = [
+    ("2024/01/03 05:13:23 billing.core WARN retry scheduled: later", MS, "WARN", "billing.core"),
+    ("[2024-01-03T05:13:23.5Z] [error] [net/worker-3] socket closed", MS + 500, "ERROR", "net/worker-3"),
+    ("2024-01-03 05:13:23,007 NOTICE (scheduler) 4 jobs", MS + 7, "INFO", "scheduler"),
+    ("<14>Jan  3 05:13:23 10.0.0.7 cron[9]: ran", None, None, None),
+]
+
+
+def test_layouts_of_other_programs(log_table):
+    # no list of layouts: heads of programs that no one told of
+    got = {r.seq: (r.entry_ms, r.level, r.component) for r in layouts.log_entries(log_table([{"seq": i, "ts": MS // 1000, "raw_data": h[0]} for i, h in enumerate(UNSEEN * 3)])).collect()}
+    assert {i: g for i, g in got.items() if i % 4 < 3} == {i: h[1:] for i, h in enumerate(UNSEEN * 3) if i % 4 < 3}
+
 
-    assert catalog.QUERIES["p5_method"] is catalog.QUERIES["p5_templates"]
+def test_partitions_decide(log_table, monkeypatch):
+    # layouts of as many tokens fall into one leaf without the splits, and then show no common head
+    rows = [{"seq": i, "ts": MS // 1000, "raw_data": f"{h} {w} went on"} for i, (h, w) in enumerate((h, w) for h in (HEADS[2][0] + " of topic", HEADS[3][0]) for w in ("a", "b", "c"))]
+    t = log_table(rows)
+    assert layouts.log_entries(t).count() == 6
+    monkeypatch.setattr(layouts, "by_least_variable", lambda sigs, within=None: sigs)
+    monkeypatch.setattr(layouts, "by_bijection", lambda sigs: sigs)
+    assert layouts.log_entries(t).count() == 0
 
 
 # --- drift (6) ---
