@@ -269,16 +269,6 @@ def p2_found(spark, d):
     return nested.nested_objects(lines, "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")
 
 
-@query("p2_method")
-def p2_method(spark, d):
-    # the rows of p2_found by the child tables of the merged schema
-    lines = logs(spark, d).where("structured")
-    out = nested.nested_objects(lines.limit(0), "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")
-    for t in nested.child_tables(lines, "raw_data", ["source", "seq"]).values():
-        out = out.unionByName(t.select("source", "seq", "pointer", "parent"))
-    return out
-
-
 @query("p2_schema")
 def p2_schema(spark, d):
     return nested.merged_schema(logs(spark, d).where("structured"), F.col("raw_data"))
@@ -333,7 +323,7 @@ def p6_consistent_rows(spark, d):
     pushes = table(spark, d, "pushes")
     types = drift.column_types(pushes)
     wide = drift.consistent_table(pushes, types)
-    names = column_names([p for p, _ in types])
+    names = dict(zip([p for p, _ in types], column_names([p for p, _ in types]), strict=True))
     cells = F.array(*[F.struct(F.lit(p).alias("path"), F.col(c).cast("string").alias("value")) for p, c in names.items()])
     x = wide.select("source", "push_id", "ts", F.explode(F.filter(cells, lambda s: s["value"].isNotNull())).alias("c"))
     return x.select("source", "push_id", "ts", "c.path", "c.value")

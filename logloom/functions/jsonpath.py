@@ -27,7 +27,7 @@ def body(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
-def _child(v: Column, key: str) -> Column:
+def child(v: Column, key: str) -> Column:
     """The value under a literal key; SQL null if absent or ``v`` is no object."""
     if "?" in key or ("'" in key and '"' in key):
         return F.try_variant_get(v, "$", "map<string,variant>")[key]
@@ -44,7 +44,7 @@ def resolve(v: Column, path: str) -> Column:
     def go(at: Column, rest: list[str]) -> Column:
         out = None
         for n in range(len(rest), 0, -1):
-            hit = _child(at, ".".join(rest[:n]))
+            hit = child(at, ".".join(rest[:n]))
             found = hit if n == len(rest) else go(hit, rest[n:])
             out = F.when(hit.isNotNull(), found) if out is None else F.when(hit.isNotNull(), found).otherwise(out)
         return out

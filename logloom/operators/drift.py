@@ -281,7 +281,7 @@ def consistent_table(pushes: DataFrame, types: list[tuple[str, str]] | None = No
     the merged schema, and ``failed``: the paths whose value could not be cast (column null then)."""
     types = column_types(pushes) if types is None else types
     rows = path_maps(pushes)
-    names = column_names([p for p, _ in types])
+    names = dict(zip([p for p, _ in types], column_names([p for p, _ in types]), strict=True))
     casts = {p: F.col("fields")[p].try_cast(t) for p, t in types}
     failed = [F.when(F.col("fields")[p].isNotNull() & c.isNull(), F.lit(p)) for p, c in casts.items()]
     report = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")

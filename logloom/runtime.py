@@ -65,14 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column_names(paths: list[str]) -> dict[str, str]:
+def column_names(paths: list[str]) -> list[str]:
     """A column name of its own for every path: other characters as _, unique without regard to case."""
-    out, taken = {}, set()
+    out: list[str] = []
+    taken = set()
     for p in paths:
         base = "f_" + re.sub(r"\W", "_", p)
         name, k = base, 2
         while name.lower() in taken:
             name, k = f"{base}_{k}", k + 1
         taken.add(name.lower())
-        out[p] = name
+        out.append(name)
     return out

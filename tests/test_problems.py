@@ -66,7 +66,7 @@ def brute(v, pointer="", parent="", at=None):
             yield from brute(x, f"{pointer}/{i}", parent, i)
 
 
-TEXTS = ['[{"a":[[{"b/c":[{"~":1}]}],{}]},3]', '{"x":{"y":[{"z":[{"w":null}]}]}}', '{"s":"[{}]"}', "[{}] x", '{"a":[{"b":NaN}]}', '[{"a":1}', "", None, '{"a":[{"b":1}],"a":[{"c":2},{}]}', "[" * 50 + "{}" + "]" * 50, "[" * 100_000]
+TEXTS = ['[{"a":[[{"b/c":[{"~":1}]}],{}]},3]', '{"x":{"y":[{"z":[{"w":null}]}]}}', '{"s":"[{}]"}', "[{}] x", '{"a":[{"b":NaN}]}', '[{"a":1}', "", None, '{"a":[{"b":1}],"a":[{"c":2},{}]}', "[" * 50 + "{}" + "]" * 50, "[" * 100_000, '{"*":[{"a.b":[{}],"c\'d?\\"":[[{}]]}]}', '{"o":' * 300 + '[{"deep":[{}]}]' + "}" * 300]
 
 
 def test_nested_objects(spark):
@@ -115,7 +115,7 @@ def test_queries_of_children(spark, log_table, tmp_path):
     log_table(rows).write.parquet(f"{tmp_path}/loglines.parquet")
     assert {(r.path, r.field, r.value) for r in catalog.QUERIES["p2_children"](spark, str(tmp_path)).collect()} == {("/env/*", "name", "a"), ("/ports/*", "p", "1")}
     assert catalog.QUERIES["p2_containers"](spark, str(tmp_path)).count() == 0
-    assert tuples(catalog.QUERIES["p2_method"](spark, str(tmp_path))) == tuples(catalog.QUERIES["p2_found"](spark, str(tmp_path))) != []
+    assert len(tuples(catalog.QUERIES["p2_found"](spark, str(tmp_path)))) == 2
 
 
 # --- layouts (5) ---
