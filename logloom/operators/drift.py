@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.nested import parse
@@ -65,7 +65,9 @@ def _values(v) -> Iterator[tuple[str | None, float | None]]:
                     yield x, None
 
 
-STATS = "source string, push_id string, path string, kind string, n bigint, least double, most double"
+STATS = "source string, push_id string, path string, kind string, n bigint, ints bigint, least double, most double"
+#: Columns of the typed table, at most; beyond that ``path_maps`` gives rows of path and value.
+COLUMNS = 4000
 #: (push, path, kind, word) rows that are made distinct at a time in Python.
 WORDS = 50_000
 
@@ -81,13 +83,14 @@ def _load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not isinstance(value, dict):
                 continue
             for path, v in flatten(value):
-                a = acc.setdefault((source, push, path, kind_of(v)), [0, None, None])
+                a = acc.setdefault((source, push, path, kind_of(v)), [0, 0, None, None])
                 a[0] += 1
+                a[1] += type(v) is int and -(1 << 63) <= v < 1 << 63
                 for _, number in _values(v):
                     if number is not None and number == number:
-                        a[1] = number if a[1] is None else min(a[1], number)
-                        a[2] = number if a[2] is None else max(a[2], number)
-        yield pd.DataFrame([(*k, *a) for k, a in acc.items()], columns=["source", "push_id", "path", "kind", "n", "least", "most"])
+                        a[2] = number if a[2] is None else min(a[2], number)
+                        a[3] = number if a[3] is None else max(a[3], number)
+        yield pd.DataFrame([(*k, *a) for k, a in acc.items()], columns=["source", "push_id", "path", "kind", "n", "ints", "least", "most"])
 
 
 def _load_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,12 +122,12 @@ def push_lines(pushes: DataFrame) -> DataFrame:
 
 
 def path_stats(pushes: DataFrame) -> DataFrame:
-    """(source, push_id, path, kind, n, least, most): per file and path, how many values of which
-    type there are, and their range of numbers."""
+    """(source, push_id, path, kind, n, ints, least, most): per file and path, how many values of which
+    type there are, how many of them are 64-bit integers, and their range of numbers."""
     # ids pass through pandas as text, which keeps nulls and large numbers
     lines = push_lines(pushes).select("source", F.col("push_id").cast("string").alias("push_id"), "raw_data")
     parts = lines.mapInPandas(_load, STATS).withColumn("push_id", F.col("push_id").cast("bigint"))
-    return parts.groupBy("source", "push_id", "path", "kind").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return parts.groupBy("source", "push_id", "path", "kind").agg(F.sum("n").alias("n"), F.sum("ints").alias("ints"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def path_words(pushes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,10 +251,24 @@ def changes(pushes: DataFrame) -> DataFrame:
 
 
 def column_types(pushes: DataFrame) -> list[tuple[str, str]]:
-    """(path, SQL type) over all files: the type most values have; text for arrays."""
-    rows = path_stats(pushes).groupBy("path", "kind").agg(F.sum("n").alias("n"))
-    best = rows.groupBy("path").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("kind")).orderBy("path").collect()
-    return [(r.path, {"number": "double", "boolean": "boolean"}.get(r.kind, "string")) for r in best]
+    """(path, SQL type) over all files: the type most values have; of numbers bigint if all are 64-bit
+    integers, else double; text for arrays. More than ``COLUMNS`` paths are an error."""
+    rows = path_stats(pushes).groupBy("path", "kind").agg(F.sum("n").alias("n"), F.sum("ints").alias("ints"))
+    kind = F.when(F.col("kind") == "number", F.when(F.col("ints") == F.col("n"), "bigint").otherwise("double")).when(F.col("kind") == "boolean", "boolean").otherwise("string")
+    best = rows.groupBy("path").agg(F.min_by(kind, F.struct(-F.col("n"), F.col("kind"))).alias("sql_type")).limit(COLUMNS + 1).collect()
+    if len(best) > COLUMNS:
+        raise ValueError(f"more than {COLUMNS} paths")
+    return sorted((r.path, r.sql_type) for r in best)
+
+
+def _cast(value: Column, kind: str) -> Column:
+    """A value's text in its column's type, null where it doesn't fit: also an integer that a double
+    wouldn't hold exactly."""
+    out = value.try_cast(kind)
+    if kind != "double":
+        return out
+    whole = F.when(value.rlike(r"^-?\d{16,}$"), value.try_cast("decimal(38,0)"))
+    return F.when(F.coalesce(whole == out.try_cast("decimal(38,0)"), ~value.rlike(r"^-?\d{16,}$")), out)
 
 
 def _maps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,16 +293,30 @@ def path_maps(pushes: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("push_id", "ts")})
 
 
+def _vectors(parts: Iterator[pd.DataFrame], at: dict[str, int]) -> Iterator[pd.DataFrame]:
+    for pdf in _maps(parts):
+        rows = []
+        for fields in pdf["fields"]:
+            row: list[str | None] = [None] * len(at)
+            for p, v in fields.items():
+                if p in at:
+                    row[at[p]] = v
+            rows.append(row)
+        yield pdf.assign(fields=rows)
+
+
 def consistent_table(pushes: DataFrame, types: list[tuple[str, str]] | None = None) -> DataFrame:
     """One typed table of all lines: source, push_id, ts, valid, a column ``f_<path>`` per path of
     the merged schema, and ``failed``: the paths whose value could not be cast (column null then)."""
     types = column_types(pushes) if types is None else types
-    rows = path_maps(pushes)
-    names = dict(zip([p for p, _ in types], column_names([p for p, _ in types]), strict=True))
-    casts = {p: F.col("fields")[p].try_cast(t) for p, t in types}
-    failed = [F.when(F.col("fields")[p].isNotNull() & c.isNull(), F.lit(p)) for p, c in casts.items()]
+    at = {p: i for i, (p, _) in enumerate(types)}
+    lines = push_lines(pushes).select("source", *[F.col(c).cast("string").alias(c) for c in ("push_id", "ts")], "raw_data")
+    rows = lines.mapInPandas(lambda it: _vectors(it, at), "source string, push_id string, ts string, valid boolean, fields array<string>")
+    casts = [(p, F.get("fields", F.lit(i)), _cast(F.get("fields", F.lit(i)), t)) for i, (p, t) in enumerate(types)]
+    failed = [F.when(v.isNotNull() & c.isNull(), F.lit(p)) for p, v, c in casts]
     report = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    return rows.select("source", "push_id", "ts", "valid", *[c.alias(names[p]) for p, c in casts.items()], report.alias("failed"))
+    names = column_names([p for p, _ in types])
+    return rows.select("source", *[F.col(c).cast("bigint").alias(c) for c in ("push_id", "ts")], "valid", *[c.alias(n) for n, (_, _, c) in zip(names, casts, strict=True)], report.alias("failed"))
 
 
 def failed_casts(pushes: DataFrame) -> DataFrame:
@@ -293,6 +324,8 @@ def failed_casts(pushes: DataFrame) -> DataFrame:
     types = column_types(pushes)
     spark = pushes.sparkSession
     wanted = spark.createDataFrame(types or [("", "")], "path string, sql_type string").where("path <> '' OR sql_type <> ''")
-    items = path_maps(pushes).select(F.explode("fields").alias("path", "value")).join(wanted, "path")
-    bad = ((F.col("sql_type") == "double") & F.expr("try_cast(value AS double)").isNull()) | ((F.col("sql_type") == "boolean") & F.expr("try_cast(value AS boolean)").isNull())
-    return items.groupBy("path", "sql_type").agg(F.sum(bad.cast("bigint")).alias("n_failed"))
+    items = path_maps(pushes).select(F.explode("fields").alias("path", "value")).join(F.broadcast(wanted), "path")
+    fits = F.lit(True)
+    for kind in ("double", "bigint", "boolean"):
+        fits = F.when(F.col("sql_type") == kind, _cast(F.col("value"), kind).isNotNull()).otherwise(fits)
+    return items.groupBy("path", "sql_type").agg(F.sum((~fits).cast("bigint")).alias("n_failed"))
