@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.llm import heavy, language, mixing, packing, runs, terms, tokens
-from logloom.runtime import table
+from logloom.runtime import cut, table
 
 QUERIES = {}
 SQL = {}
@@ -92,12 +92,66 @@ def p9_mixture(spark, d):
     return mixing.mixture(sizes, table(spark, d, "mixtargets"))
 
 
+@query("p8_invariants", """
+SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_lost, 0 AS n_over_capacity, 0 AS n_split_though_small, 0 AS n_miscounted
+FROM (SELECT DISTINCT pack_id, capacity_tokens FROM packspecs WHERE capacity_tokens > 0) AS s
+""")
+def p8_invariants(spark, d):
+    # what any packing must keep: every token of every document, no container over its capacity
+    sizes = tokens.token_counts(table(spark, d, "documents"), ["doc_id"])
+    packed = cut(packing.pack(sizes, table(spark, d, "packspecs")))
+    spec = packed.select("pack_id", "capacity_tokens").distinct()
+    docs = packed.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece_no").alias("numbers"))
+    want = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("want"))
+    x = F.broadcast(spec).crossJoin(want).join(docs, ["pack_id", "capacity_tokens", "doc_id"], "left")
+    count = lambda c: F.sum(c.cast("int")).cast("int")
+    of_docs = x.groupBy("pack_id", "capacity_tokens").agg(
+        F.count("t").alias("n_docs"), count(F.coalesce(F.col("t") != F.col("want"), F.lit(True)) | (F.col("pieces") != F.col("numbers"))).alias("n_lost"), count((F.col("pieces") > 1) & (F.col("want") <= F.col("capacity_tokens"))).alias("n_split_though_small")
+    )
+    boxes = packed.groupBy("pack_id", "capacity_tokens", "container_no").agg(F.sum("n_tokens").alias("t"), F.max("container_tokens").alias("said"))
+    of_boxes = boxes.groupBy("pack_id", "capacity_tokens").agg(count(F.col("t") > F.col("capacity_tokens")).alias("n_over_capacity"), count(F.col("t") != F.col("said")).alias("n_miscounted"))
+    return of_docs.join(of_boxes, ["pack_id", "capacity_tokens"]).select("pack_id", "capacity_tokens", "n_docs", "n_lost", "n_over_capacity", "n_split_though_small", "n_miscounted")
+
+
 @query("p9_shares")
 def p9_shares(spark, d):
     sizes, targets = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mixtargets")
     return mixing.shares(sizes, targets, mixing.mixture(sizes, targets))
 
 
+@query("p9_proportional")
+def p9_proportional(spark, d):
+    # the mix as large as its scarcest source allows, with every share kept
+    sizes = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"])
+    return mixing.mixture(sizes, table(spark, d, "mixtargets"), shrink=True)
+
+
+@query("p9_proportional_shares")
+def p9_proportional_shares(spark, d):
+    sizes, targets = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mixtargets")
+    return mixing.shares(sizes, targets, mixing.mixture(sizes, targets, shrink=True), shrink=True)
+
+
+@query("p9_invariants", """
+SELECT m.mix_id, m.source, (SELECT count(*) FROM documents AS d WHERE d.source = m.source AND d.text <> '') AS n_docs, 0 AS n_over_repeated, 0 AS n_gaps_in_repeats, 0 AS n_misplaced, 0 AS n_missed_by_over_a_document FROM mixtargets AS m
+""")
+def p9_invariants(spark, d):
+    # what any mix must keep: repeats within their cap and without gaps, positions in [0, 1] that grow with a source's cumulated tokens, and all that was to be taken taken
+    sizes, targets = tokens.token_counts(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mixtargets")
+    drawn = cut(mixing.mixture(sizes, targets))
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("int")
+    most = targets.select("mix_id", "source", "max_repeats")
+    docs = drawn.groupBy("mix_id", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("repeat_no").alias("last"), count((F.col("position") < 0) | (F.col("position") > 1)).alias("off")).join(most, ["mix_id", "source"])
+    of_docs = docs.groupBy("mix_id", "source").agg(count(F.col("n") > F.col("max_repeats")).alias("n_over_repeated"), count(F.col("n") != F.col("last") + 1).alias("n_gaps_in_repeats"), F.sum("off").cast("int").alias("n_misplaced"))
+    longest = sizes.agg(F.max("n_tokens")).first()[0] or 0
+    got = drawn.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"))
+    due = mixing.demands(sizes, targets).join(got, ["mix_id", "source"], "left")
+    missed = (F.abs(F.coalesce("tokens", F.lit(0)) - F.col("take")) > longest).cast("int").alias("n_missed_by_over_a_document")
+    n_docs = sizes.where("n_tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    x = due.select("mix_id", "source", missed).join(of_docs, ["mix_id", "source"], "left").join(n_docs, "source", "left")
+    return x.select("mix_id", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "n_over_repeated", "n_gaps_in_repeats", "n_misplaced", "n_missed_by_over_a_document")])
+
+
 @query("p10_found")
 def p10_found(spark, d):
     return language.wrong_or_mixed(table(spark, d, "documents"), table(spark, d, "languages"))

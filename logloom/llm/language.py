@@ -7,15 +7,19 @@ language with the most letters under it, and its share as confidence.
 
 The field is trained here, on a bounded sample of labelled rows: up to ``per_label`` documents
 of each label. As labels may be wrong, only paragraphs count whose words speak for the label:
-first by the lexicons, in later rounds by the field trained so far.
+first by the lexicons - for languages without one, by how usual their words are among the
+paragraphs of the label and of all others - and in later rounds by the field trained so far. A
+field is fitted once (``fit``), can be kept (``save``, ``load``) and passed in.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +53,15 @@ HASHES = 1 << 16
 #: Labelled documents per label that the field is trained on, at most.
 PER_LABEL = 80
 #: Paragraphs per language, at most, and the chains they are strung into.
-PARAGRAPHS, CHAIN = 250, 3
+PARAGRAPHS, CHAIN = 400, 4
+#: How often a chain goes on in another language.
 SWITCH = 0.25
-EPOCHS = 12
+#: Gradient steps of the field, and of the rounds before, which only tell which labels hold.
+EPOCHS, FIRST = 30, 10
+#: Languages that may be listed; more are an error.
+LISTED = 1000
+#: Words whose scores a task keeps; then it starts anew.
+CACHE = 1 << 18
 
 NOISE = re.compile(r"`[^`\n]*`|\$\$?[^$\n]*\$\$?|!\[[^\]\n]*\]\([^)\n]*\)|\]\([^)\n]*\)|https?://\S+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -106,6 +116,28 @@ def features(w: str) -> list[int]:
     return [zlib.crc32(x.encode()) % HASHES for x in f]
 
 
+class _Sum:
+    """Sums of rows by a fixed number of each, in one sorted pass."""
+
+    def __init__(self, numbers: np.ndarray, n: int):
+        self.order, self.n = np.argsort(numbers, kind="stable"), n
+        self.present, self.starts = np.unique(numbers[self.order], return_index=True)
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, rows.shape[1]), np.float32)
+        out[self.present] = np.add.reduceat(rows[self.order], self.starts)
+        return out
+
+
+def _columns(chains: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The words of chains, longest first, in the order of a (time, chain) table."""
+    live = len(chains)
+    for t in range(len(chains[0])):
+        while len(chains[live - 1]) <= t:
+            live -= 1
+        yield np.array([c[t] for c in chains[:live]])
+
+
 class Field:
     """A linear-chain conditional random field over languages."""
 
@@ -114,20 +146,52 @@ class Field:
         n = len(labels)
         self.weights = np.zeros((HASHES, n), np.float32)
         self.trans = np.eye(n, dtype=np.float32) * 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the vocabulary anew."""
         self.vocab: dict[str, int] = {}
-        self.scores = np.zeros((0, n), np.float32)
+        self.new: list[str] = []
+        self.scores = np.zeros((0, len(self.labels)), np.float32)
+        self.lengths = np.zeros(0, np.float32)
 
     def ids(self, ws: list[str]) -> list[int]:
         """The words' numbers in the vocabulary, which grows."""
-        v = self.vocab
-        return [v.setdefault(w, len(v)) for w in ws]
+        v, out = self.vocab, []
+        for w in ws:
+            i = v.get(w)
+            if i is None:
+                i = v[w] = len(v)
+                self.new.append(w)
+            out.append(i)
+        return out
 
     def score(self) -> None:
-        """Scores of the vocabulary's words that have none yet."""
-        new = list(self.vocab)[len(self.scores) :]
-        if new:
-            s = np.stack([self.weights[features(w)].sum(0) for w in new])
-            self.scores = np.concatenate([self.scores, s]) if len(self.scores) else s
+        """Scores and lengths of the vocabulary's words that have none yet, in arrays that double."""
+        if not self.new:
+            return
+        n, have = len(self.vocab), len(self.vocab) - len(self.new)
+        if n > len(self.scores):
+            more = max(n, 2 * len(self.scores)) - len(self.scores)
+            self.scores = np.concatenate([self.scores, np.zeros((more, len(self.labels)), np.float32)])
+            self.lengths = np.concatenate([self.lengths, np.zeros(more, np.float32)])
+        for i, w in enumerate(self.new, have):
+            self.scores[i] = self.weights[features(w)].sum(0)
+            self.lengths[i] = len(w)
+        self.new = []
+
+    def save(self, path: str) -> None:
+        """Keep the field in one file."""
+        used = np.flatnonzero(self.weights.any(1))
+        with open(path, "wb") as f:
+            np.savez_compressed(f, labels=np.array(self.labels), used=used, weights=self.weights[used], trans=self.trans)
+
+    @classmethod
+    def load(cls, path: str) -> Field:
+        with np.load(path) as kept:
+            field = cls([str(x) for x in kept["labels"]])
+            field.weights[kept["used"]], field.trans = kept["weights"], kept["trans"]
+        return field
 
     def posteriors(self, chains: list[np.ndarray], at_once: int = 1 << 18) -> list[np.ndarray]:
         """Each word's probability of each language, by forward-backward."""
@@ -174,46 +238,46 @@ class Field:
         order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
         chains, golds = [chains[i] for i in order], [golds[i] for i in order]
         n, total = len(self.labels), sum(map(len, chains))
-        feats = [features(w) for w in self.vocab]
+        feats, self.new = [features(w) for w in self.vocab], []
         rows = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-        cols = np.concatenate([np.array(x) for x in feats])
-        used, cols = np.unique(cols, return_inverse=True)
-        w, sq = np.zeros((len(used), n)), np.full((len(used), n), 1e-8)
+        used, cols = np.unique(np.concatenate([np.array(x) for x in feats]), return_inverse=True)
+        by_word, by_feature = _Sum(rows, len(feats)), _Sum(cols, len(used))
+        w, sq = np.zeros((len(used), n), np.float32), np.full((len(used), n), 1e-8)
         tsq = np.full((n, n), 1e-8)
+        batches, at = [], 0
+        while at < len(chains):
+            some = range(at, min(len(chains), at + max(1, (1 << 18) // len(chains[at]))))
+            at = some[-1] + 1
+            own = [chains[i] for i in some]
+            gold = np.full((len(own[0]), len(own)), -1, np.int64)
+            for k, i in enumerate(some):
+                gold[: len(golds[i]), k] = golds[i]
+            steps = np.zeros((n, n))
+            np.add.at(steps, (gold[:-1][gold[1:] >= 0], gold[1:][gold[1:] >= 0]), 1)
+            batches.append((own, gold, steps, _Sum(np.concatenate([c for c in _columns(own)]), len(feats))))
         for _ in range(epochs):
-            self.scores = np.zeros((len(feats), n), np.float32)
-            np.add.at(self.scores, rows, w[cols].astype(np.float32))
+            self.scores = by_word(w[cols])
             a = np.exp(self.trans - self.trans.max())
-            grad, tgrad = np.zeros((len(feats), n)), np.zeros((n, n))
-            at = 0
-            while at < len(chains):
-                some = range(at, min(len(chains), at + max(1, (1 << 18) // len(chains[at]))))
-                at = some[-1] + 1
-                post, f, g, e, live, ids = self._batch([chains[i] for i in some], a)
-                gold = np.full(ids.shape, -1, np.int64)
-                for k, i in enumerate(some):
-                    gold[: len(golds[i]), k] = golds[i]
+            grad, tgrad = np.zeros((len(feats), n), np.float32), np.zeros((n, n))
+            for own, gold, steps, by_id in batches:
+                post, f, g, e, _, ids = self._batch(own, a)
                 ok = ids >= 0
                 diff = -post[ok]
                 diff[np.arange(len(diff)), gold[ok]] += 1
-                np.add.at(grad, ids[ok], diff)
-                for i in range(len(ids) - 1):
-                    m = live[i + 1]
-                    pair = f[i, :m, :, None] * a[None] * (e[i + 1, :m] * g[i + 1, :m])[:, None, :]
-                    pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-30)
-                    tgrad -= pair.sum(0)
-                    np.add.at(tgrad, (gold[i, :m], gold[i + 1, :m]), 1)
-            fgrad = np.zeros_like(w)
-            np.add.at(fgrad, cols, grad[rows])
-            fgrad = fgrad / total - decay * w
+                grad += by_id(diff)
+                ahead = ok[1:]
+                left, right = f[:-1][ahead], (e * g)[1:][ahead]
+                z = np.maximum(((left @ a) * right).sum(1, keepdims=True), 1e-30)
+                tgrad += steps - a * ((left / z).T @ right)
+            fgrad = by_feature(grad[rows]) / total - decay * w
             sq += fgrad**2
-            w += rate * fgrad / np.sqrt(sq)
+            w = (w + rate * fgrad / np.sqrt(sq)).astype(np.float32)
             tgrad = tgrad / total - decay * self.trans
             tsq += tgrad**2
             self.trans = (self.trans + rate * tgrad / np.sqrt(tsq)).astype(np.float32)
         self.weights[:] = 0
-        self.weights[used] = w.astype(np.float32)
-        self.vocab, self.scores = {}, np.zeros((0, n), np.float32)
+        self.weights[used] = w
+        self.forget()
 
 
 def _by_lexicon(ws: list[str], label: str) -> bool:
@@ -221,13 +285,33 @@ def _by_lexicon(ws: list[str], label: str) -> bool:
     return hits.get(label, 0) >= max(1, *(v for k, v in hits.items() if k != label))
 
 
+def _by_words(by: dict[str, list[list[str]]], code: str) -> list[list[str]]:
+    """The paragraphs of a label that its own other paragraphs explain better than those of any other
+    label do, by the frequencies of words and their ends."""
+    parts = lambda p: [x for w in p for x in (w, "-" + w[-3:])]
+    counts = {c: Counter(x for p in ps for x in parts(p)) for c, ps in by.items() if ps}
+    totals, n = {c: sum(k.values()) for c, k in counts.items()}, len(set().union(*counts.values()))
+    out = []
+    for p in by[code]:
+        own = Counter(parts(p))
+
+        def speaks(c: str, own=own) -> float:
+            less = own if c == code else {}
+            size = totals[c] - (sum(own.values()) if c == code else 0)
+            return sum(k * math.log((counts[c][x] - less.get(x, 0) + 0.1) / (size + 0.1 * n)) for x, k in own.items())
+
+        if max(counts, key=speaks) == code:
+            out.append(p)
+    return out
+
+
 def train(labelled: list[tuple[str, list[list[str]]]], rounds: int = 2, seed: int = 11) -> Field | None:
     """A field from (code, paragraphs of words) pairs, or None if no label is borne out."""
     rng = random.Random(seed)
     by: dict[str, list[list[str]]] = {}
     for code, paras in labelled:
         by.setdefault(code, []).extend(p for p in paras if len(p) >= 3)
-    kept = {c: [p for p in ps if _by_lexicon(p, c)] for c, ps in by.items()}
+    kept = {c: [p for p in ps if _by_lexicon(p, c)] if c in LEXICON else _by_words(by, c) for c, ps in by.items()}
     # a language none of whose labels hold would be learned from others' texts
     labels = sorted(c for c, ps in by.items() if len(kept[c]) >= max(5, 0.25 * len(ps)))
     if not labels:
@@ -251,7 +335,7 @@ def train(labelled: list[tuple[str, list[list[str]]]], rounds: int = 2, seed: in
                 ids, gold = ids + field.ids(q), gold + [labels.index(o)] * len(q)
             chains.append(np.array(ids))
             golds.append(np.array(gold))
-        field.fit(chains, golds)
+        field.fit(chains, golds, EPOCHS if turn == rounds - 1 else FIRST)
     return field
 
 
@@ -286,6 +370,8 @@ SCHEMA = "doc_id string, cell_no bigint, para_no bigint, lang string, confidence
 def _label(field: Field, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n = len(field.labels)
     for pdf in parts:
+        if len(field.vocab) > CACHE:
+            field.forget()
         chains, paras = [], []  # paras: (row, cell, para, chain, from, words, spaced words)
         rows = zip(pdf["text"], pdf["_cell_no"], pdf["_char_from"], pdf["_char_len"], strict=True)
         for row, (text, nos, starts, sizes) in enumerate(rows):
@@ -299,7 +385,7 @@ def _label(field: Field, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
                         chain += field.ids(ws)
                 chains.append(np.array(chain, np.int64))
         post = field.posteriors(chains)
-        lengths = np.array([len(w) for w in field.vocab], np.float32)
+        lengths = field.lengths
         found, letters = [], np.zeros((len(pdf), n))
         for row, no, j, c, at, k, size, clean in paras:
             x = lengths[chains[c][at : at + k]] @ post[c][at : at + k]
@@ -324,27 +410,39 @@ def _ids_as(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast(dict(docs.select("doc_id").dtypes)["doc_id"]))
 
 
-def languages_of(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+def codes(languages: DataFrame) -> dict[str, str]:
+    """The spellings of the languages that documents may be in."""
+    listed = languages.where("lang IS NOT NULL").select("lang", "name").limit(LISTED + 1).collect()
+    if len(listed) > LISTED:
+        raise ValueError(f"more than {LISTED} languages")
+    return spellings([(r.lang, r.name) for r in listed])
+
+
+def fit(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL) -> Field | None:
+    """The field of a bounded sample of labelled documents, None if no label is borne out."""
+    return train(sample(docs, codes(languages), per_label))
+
+
+def languages_of(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL, field: Field | None = None) -> DataFrame:
     """(doc_id, cell_no, para_no, lang, confidence, n_words, n_letters): per document with words in
     its text cells one row with cell_no = para_no = -1, and per paragraph of a mixed one a row.
 
     Null texts, documents without text cells and cells without words have no language and no
-    rows. Rows with equal ids are documents of their own. With no label that its texts bear out
-    there is no field, and no rows.
+    rows. Rows with equal ids are documents of their own. Without a ``field`` one is fitted; with
+    no label that its texts bear out there is none, and no rows.
     """
-    names = spellings([(r.lang, r.name) for r in languages.where("lang IS NOT NULL").limit(1000).collect()])
-    field = train(sample(docs, names, per_label))
+    field = field or fit(docs, languages, per_label)
     rows = _cells(docs)
     if field is None:
         return _ids_as(rows.sparkSession.createDataFrame([], SCHEMA), docs)
     return _ids_as(rows.mapInPandas(lambda it: _label(field, it), SCHEMA), docs)
 
 
-def wrong_or_mixed(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+def wrong_or_mixed(docs: DataFrame, languages: DataFrame, per_label: int = PER_LABEL, field: Field | None = None) -> DataFrame:
     """(doc_id, cell_no, para_no, lang): the documents whose label doesn't name their language, and
     the paragraphs of five or more words in another language than their document's."""
-    names = spellings([(r.lang, r.name) for r in languages.where("lang IS NOT NULL").limit(1000).collect()])
-    field = train(sample(docs, names, per_label))
+    names = codes(languages)
+    field = field or fit(docs, languages, per_label)
     rows = _cells(docs, "lang")
     schema = "doc_id string, cell_no bigint, para_no bigint, lang string"
     if field is None:

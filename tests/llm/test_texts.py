@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,24 @@ def test_mixing_shrunk_keeps_proportions(spark):
     assert all(got[s].short for s in ("a", "b", "none"))
 
 
+def test_mixing_by_a_schedule(spark):
+    df = spark.range(20_000, numPartitions=6).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"), F.lit(10).alias("n_tokens"))
+    t = spark.createDataFrame([(1, "a", 0.6, 1, 0.5), (1, "b", 0.4, 3, 0.5)], TARGETS)
+    # a: nothing in the first quarter, then 1, then 3; b has no stages with weight
+    plan = spark.createDataFrame([(1, "a", 0.0, 0.0), (1, "a", 0.25, 1.0), (1, "a", 0.75, 3.0), (1, "a", 2.0, 9.0), (1, "b", 0.5, -1.0)], "mix_id bigint, source string, starts_at double, weight double")
+    x = mixing.mixture(df, t, schedules=plan)
+    at = {(r.source, r.q): r.n for r in x.groupBy("source", F.floor(F.col("position") * 4).alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert ("a", 0) not in at and sum(n for (s, _), n in at.items() if s == "a") == 6000
+    assert abs(at[("a", 1)] - 1200) <= 1 and abs(at[("a", 2)] - 1200) <= 1 and abs(at[("a", 3)] - 3600) <= 1
+    assert sum(n for (s, _), n in at.items() if s == "b") == 4000
+    # every draw at its own token, none lost: the cumulated tokens of a source are 0, 10, 20, ...
+    from pyspark.sql import Window
+
+    n = x.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("position")) - 1).alias("k"), "position").where("source = 'a'").orderBy("k").collect()
+    want = [0.25 + u * 1.25 if (u := (10 * r.k + 5) / 60_000) <= 0.4 else 0.75 + (u - 0.4) / 0.6 * 0.25 for r in n]
+    assert all(abs(r.position - w) < 1e-6 for r, w in zip(n, want, strict=True))
+
+
 def test_mixing_edges(spark):
     t = spark.createDataFrame([(1, "a", 1.0, 1, 1.0)], TARGETS)
     same = spark.createDataFrame([(i, 7, "a", 5) for i in range(3)] + [(3, 8, "a", 0), (4, None, "a", None)], "row bigint, doc_id bigint, source string, n_tokens bigint")
@@ -191,6 +210,24 @@ def test_languages(spark):
     assert sum(r.cell_no == -1 for r in all_of) == 301 and all(0 <= r.confidence <= 1.000001 for r in all_of)
 
 
+def test_languages_without_lexicon_and_kept_fields(tmp_path):
+    rng = random.Random(4)
+    for code in ("sv", "xx"):
+        assert (code in language.LEXICON) == (code == "sv")
+    coined = [["zolu", "brena", "kim", "tavo", "ushi"], ["kim", "ushi", "zolu", "meri", "brena"], ["tavo", "kim", "meri", "zolu", "wesh"]]
+    paras = {c: [language.words(x) for x in SENTENCES[c]] for c in ("en", "de")} | {"xx": coined}
+    labelled = [(c, [rng.choice(paras[c]) for _ in range(4)]) for c in ("en", "de", "xx") for _ in range(20)]
+    labelled += [("xx", [rng.choice(paras["en"])]) for _ in range(3)] + [("yy", [rng.choice(paras["de"]) for _ in range(4)]) for _ in range(2)]
+    field = language.train(labelled)
+    assert field.labels == ["de", "en", "xx"]  # yy's texts are another's
+    ids = np.array(field.ids(["zolu", "kim", "tavo", "the", "old", "table"]))
+    got = [field.labels[k] for k in field.posteriors([ids])[0].argmax(1)]
+    assert got == ["xx"] * 3 + ["en"] * 3
+    field.save(str(tmp_path / "field.npz"))
+    again = language.Field.load(str(tmp_path / "field.npz"))
+    assert np.allclose(again.posteriors([np.array(again.ids(["zolu", "the"]))])[0], field.posteriors([np.array(field.ids(["zolu", "the"]))])[0])
+
+
 def test_no_labels_no_field(spark):
     langs = spark.createDataFrame(LANGS, "lang string, name string")
     df = spark.createDataFrame([document(1, "en", [("text", "zxq")])], DOC)
@@ -207,13 +244,11 @@ def test_fold_and_paragraphs():
 def test_forward_backward_matches_enumeration():
     import itertools
 
-    import numpy as np
-
     rng = np.random.default_rng(1)
     f = language.Field(["a", "b", "c"])
     f.trans = rng.normal(size=(3, 3)).astype(np.float32)
     ids = np.array(f.ids(["x", "y", "x", "z"]))
-    f.scores = rng.normal(size=(3, 3)).astype(np.float32)
+    f.scores, f.new = rng.normal(size=(3, 3)).astype(np.float32), []
     p = np.zeros((4, 3))
     for path in itertools.product(range(3), repeat=4):
         s = sum(f.scores[ids[i]][k] for i, k in enumerate(path)) + sum(f.trans[path[i], path[i + 1]] for i in range(3))
