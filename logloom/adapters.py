@@ -28,3 +28,12 @@ def documents_as_logs(docs: DataFrame) -> DataFrame:
 
 def tail_as_logs(tail: DataFrame) -> DataFrame:
     return tail.select(F.col("app").alias("source"), "ts", F.col("line_no").alias("seq"), "structured", F.col("inner").alias("raw_data"), F.lit(None).cast("array<string>").alias("indexes"), F.lit(None).cast("array<string>").alias("json_keys"))
+
+
+def lineitems_as_logs(items: DataFrame) -> DataFrame:
+    """One text line per order item, of the source of its return flag, at its shipping date."""
+    text = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return items.select(
+        F.col("l_returnflag").alias("source"), F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1_000_000).cast("bigint").alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("seq"),
+        F.lit(False).alias("structured"), text.alias("raw_data"), F.array("l_returnflag").alias("indexes"), F.array().cast("array<string>").alias("json_keys"),
+    ).select(*COLUMNS)

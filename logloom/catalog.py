@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from logloom import adapters
@@ -12,7 +10,7 @@ from logloom.functions.text import stems, stop_words, tokens, without_stop_words
 from logloom.operators import drift, layouts, nested, skewed
 from logloom.plans.planner import Request, plan
 from logloom.plans.render import answer
-from logloom.runtime import column_names, shared_dir, table
+from logloom.runtime import column_names, scratch, table
 from logloom.sources import push, shipper, store
 from logloom.streaming import live
 
@@ -82,9 +80,27 @@ _piped(
 )
 
 
-@query("term_index_lookup", f"SELECT source, seq FROM loglines WHERE {_NEAR.format(v='brokr', d=2)}")
+def _stored(spark, d):
+    path = scratch(spark, "store")
+    store.write(logs(spark, d), path)
+    return path
+
+
+@query("term_index_lookup", f"SELECT DISTINCT t.term, l.source, CAST(make_date(1970, 1, 1) + CAST(floor(ts / 86400) AS INT) AS DATE) AS event_date FROM (SELECT *, unnest(indexes) AS term FROM loglines) AS l, (SELECT l.term) AS t WHERE levenshtein(l.term, 'brokr') <= 2")
 def term_index_lookup(spark, d):
-    return store.lookup(store.term_index(logs(spark, d)), logs(spark, d), "brokr", 2).select("source", "seq")
+    return store.near_terms(spark, _stored(spark, d), "brokr", 2)
+
+
+@query("store_search", f"SELECT ts, raw_data AS entry, source FROM loglines WHERE {_NEAR.format(v='brokr', d=2)} ORDER BY ts DESC, source, seq DESC LIMIT 10000")
+def store_search(spark, d):
+    # the term table names the terms and the directories, lines are only compared with those terms
+    return store.search(spark, _stored(spark, d), 'message = "brokr"')
+
+
+@query("store_time_range", "SELECT ts, raw_data AS entry, source FROM loglines WHERE ts BETWEEN 1704300000 AND 1704330000")
+def store_time_range(spark, d):
+    # the table of files names those whose bounds overlap the range
+    return store.search(spark, _stored(spark, d), "", Request(1704300000, 1704330000))
 
 
 # --- aggregates ---
@@ -118,9 +134,27 @@ _piped(
 )
 
 
-@query("render_json")
+@query("render_json", """
+SELECT CAST(row_number() OVER (ORDER BY ts DESC, source, seq DESC) - 1 AS INT) AS place, ts, source, CASE WHEN json_valid(raw_data) AND json_type(raw_data) IN ('OBJECT', 'ARRAY') THEN 'json' ELSE raw_data END AS entry
+FROM loglines ORDER BY ts DESC, source, seq DESC LIMIT 200
+""")
 def render_json(spark, d):
-    return spark.createDataFrame([(answer(logs(spark, d), "count(msg) as n by level"),)], "json string")
+    # the envelope read back: a text entry as it was, JSON entries as JSON
+    text = spark.createDataFrame([(answer(logs(spark, d), "limit 200"),)], "t string").select(F.parse_json("t").alias("v"))
+    rows = text.select(F.posexplode(F.variant_get("v", "$.data", "array<variant>")).alias("place", "r"))
+    entry = F.variant_get("r", "$.entry", "variant")
+    is_json = F.substring(F.to_json(entry), 1, 1).isin("{", "[")
+    return rows.select("place", F.variant_get("r", "$.ts", "bigint").alias("ts"), F.variant_get("r", "$.source", "string").alias("source"), F.when(is_json, "json").otherwise(F.variant_get(entry, "$", "string")).alias("entry"))
+
+
+@query("render_groups", f"""
+WITH g AS (SELECT coalesce(json_extract_string(j, '$.level'), '""') AS level, count(*) AS n FROM {_J} WHERE json_exists(j, '$.msg') GROUP BY 1)
+SELECT level AS g, CAST(n AS VARCHAR) AS n FROM g
+""")
+def render_groups(spark, d):
+    text = spark.createDataFrame([(answer(logs(spark, d), "count(msg) as n by level"),)], "t string")
+    rows = text.select(F.explode(F.from_json("t", "data array<struct<level:string,n:string>>")["data"]).alias("r"))
+    return rows.select(F.col("r.level").alias("g"), "r.n")
 
 
 # --- text and keys ---
@@ -132,7 +166,18 @@ def tokenize_terms(spark, d):
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stopword_terms")
+# fixed values: the stop words of the English list
+_STOPS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those
+am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below
+to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just
+don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't
+don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would
+"""
+_STOPPED = f"string_split_regex(trim(regexp_replace($${_STOPS}$$, '\\s+', ' ', 'g')), ' ')"
+
+
+@query("stopword_terms", f"SELECT term, count(*) AS n FROM (SELECT unnest(string_split(raw_data, ' ')) AS term FROM loglines WHERE NOT structured) AS t WHERE NOT list_contains({_STOPPED}, term) GROUP BY term")
 def stopword_terms(spark, d):
     t = without_stop_words(tokens(F.col("raw_data")), stop_words(spark))
     return logs(spark, d).where("NOT structured").select(F.explode(t).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -144,13 +189,17 @@ def stemmed_terms(spark, d):
     return logs(spark, d).where("NOT structured").select(t.alias("t")).select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flatten_keys")
+_OBJECTS = "(SELECT *, raw_data::JSON AS j FROM loglines WHERE structured AND json_valid(raw_data) AND json_type(raw_data) = 'OBJECT') AS x, json_tree(x.j) AS n"
+_DOTTED = "replace(regexp_replace(n.fullkey[3:], '\\[\\d+\\]', '', 'g'), '\"', '')"
+
+
+@query("flatten_keys", f"SELECT source, seq, {_DOTTED} AS key, CAST(count(*) AS INT) AS n_leaves FROM {_OBJECTS} WHERE n.type NOT IN ('OBJECT', 'ARRAY') GROUP BY ALL")
 def flatten_keys(spark, d):
     x = logs(spark, d).where("structured").select("source", "seq", jsonpath.flatten(F.col("raw_data")).alias("flat"))
     return x.select("source", "seq", F.explode("flat").alias("key", "leaves")).select("source", "seq", "key", F.size("leaves").alias("n_leaves"))
 
 
-@query("object_keys")
+@query("object_keys", f"SELECT source, seq, {_DOTTED} AS key FROM {_OBJECTS} WHERE n.type <> 'OBJECT' AND NOT contains(n.fullkey, '[')")
 def object_keys(spark, d):
     return logs(spark, d).where("structured").select("source", "seq", F.explode(jsonpath.object_keys(F.col("raw_data"))).alias("key"))
 
@@ -176,9 +225,7 @@ def ingest_pushes(spark, d):
 
 @query("store_roundtrip", "SELECT source, ts, seq, structured, raw_data FROM loglines")
 def store_roundtrip(spark, d):
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    store.write(logs(spark, d), path)
-    return store.read(spark, path).select("source", "ts", "seq", "structured", "raw_data")
+    return store.read(spark, _stored(spark, d)).select("source", "ts", "seq", "structured", "raw_data")
 
 
 _SEGMENTS = """
@@ -203,16 +250,40 @@ def retained_lines(spark, d):
     return store.retain(logs(spark, d), 1705290000, 864000).select("source", "seq")
 
 
-@query("registry_lookup", "SELECT source, segment_id FROM segments WHERE start_ts <= 1704330000 AND end_ts >= 1704300000")
+@query("registry_lookup", "SELECT source, segment_id FROM segments WHERE least(start_ts, end_ts) <= 1704330000 AND greatest(start_ts, end_ts) >= 1704300000")
 def registry_lookup(spark, d):
-    return table(spark, d, "segments").where("start_ts <= 1704330000 AND end_ts >= 1704300000").select("source", "segment_id")
+    return store.overlapping(table(spark, d, "segments"), 1704300000, 1704330000).select("source", "segment_id")
+
+
+_PUSHED = "SELECT source, pushed_at, push_id, unnest(lines) AS l, generate_subscripts(lines, 1) AS place FROM pushes"
+
+
+@query("ingest_twice", f"""
+WITH p AS ({_PUSHED}), k AS (SELECT *, CASE WHEN push_id % 2 = 0 THEN 0 ELSE 1 END AS turn FROM p WHERE l IS NOT NULL AND l.raw_data IS NOT NULL AND l.ts IS NOT NULL AND l.structured IS NOT NULL AND source IS NOT NULL)
+SELECT source, l.ts AS ts, l.raw_data AS raw_data, row_number() OVER (PARTITION BY source ORDER BY turn, pushed_at, push_id, place) AS seq FROM k
+""")
+def ingest_twice(spark, d):
+    # two pushes' worth of batches into one store: numbers go on where the first ended
+    lines = push.lines_of(table(spark, d, "pushes")).where("source IS NOT NULL AND ts IS NOT NULL AND raw_data IS NOT NULL AND structured IS NOT NULL")
+    path = scratch(spark, "store")
+    for turn in (0, 1):
+        store.ingest(lines.where(F.pmod("push_id", F.lit(2)) == turn), path, ["pushed_at", "push_id", "place"], index=False)
+    return store.read(spark, path).select("source", "ts", "raw_data", "seq")
+
+
+def _lineitems(spark, d):
+    return adapters.lineitems_as_logs(table(spark, d, "lineitem"))
+
+
+_LINES = "SELECT CAST(floor(epoch(l_shipdate)) AS BIGINT) AS ts, concat(l_orderkey, '-', l_linenumber) AS entry, l_returnflag AS source, l_orderkey * 8 + l_linenumber AS seq FROM lineitem"
+_piped("default_limit_reached", "distance 3", f"SELECT ts, entry, source FROM ({_LINES}) AS x ORDER BY ts DESC, source, seq DESC LIMIT 10000", of=_lineitems)
 
 
 @query("stream_tail", "SELECT source AS app, ts, structured, raw_data AS \"inner\" FROM loglines WHERE source IN ('coxlotmet', 'kube-cutrux')")
 def stream_tail(spark, d):
-    out = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    out = scratch(spark, "tail")
     rows = live.tail(spark, f"{d}/loglines.parquet", ["coxlotmet", "kube-cutrux"])
-    rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    rows.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 
@@ -226,27 +297,50 @@ def _parsed(name: str, f, sql: str):
         return x.select("source", "seq", *[F.col(f"_p.{n}").alias(f"f_{n}") for n in x.schema["_p"].dataType.names])
 
 
-def _extract(pattern: str, names: list[str], where: str) -> str:
-    p = pattern.replace("'", "''")
-    cols = ", ".join(f"regexp_extract(raw_data, '{p}', {i + 1}) AS f_{n}" for i, n in enumerate(names))
-    return f"SELECT source, seq, {cols} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '{where}')"
+_TEXT = "(SELECT source, seq, raw_data AS t FROM loglines WHERE NOT structured) AS x"
+# independent of the parsers' patterns: cut at the separators of each layout
+_parsed("klog_parse", shipper.klog, f"""
+SELECT source, seq, t[1:1] AS f_severity, t[2:position(' ' IN t[7:]) + 5] AS f_time, split_part(ltrim(t[position(' ' IN t[7:]) + 6:], ' '), ' ', 1) AS f_pid,
+split_part(split_part(ltrim(ltrim(t[position(' ' IN t[7:]) + 6:], ' '), '0123456789')[2:], '] ', 1), ' ', 1) AS f_source, substr(t, position('] ' IN t) + 2) AS f_message
+FROM {_TEXT} WHERE regexp_matches(t, '^[A-Z][0-9][0-9][0-9][0-9] [0-9:.]+ +[0-9]+ [^ ]+[]] ')
+""")
+_parsed("docker_parse", shipper.docker, f"""
+SELECT source, seq, split_part(t, '"', 2) AS f_time, split_part(split_part(t, ' level=', 2), ' ', 1) AS f_severity, split_part(split_part(t, ' msg="', 2), '"', 1) AS f_message, '' AS f_error, '' AS f_status_code
+FROM {_TEXT} WHERE starts_with(t, 'time="') AND contains(t, ' level=') AND contains(t, ' msg="')
+""")
+_parsed("syslog_parse", shipper.syslog, f"""
+SELECT source, seq, CASE WHEN t[1:1] = '<' THEN split_part(t[2:], '>', 1) ELSE '' END AS f_pri, u[1:15] AS f_time, split_part(u[17:], ' ', 1) AS f_host, split_part(split_part(u[17:], ' ', 2), '[', 1) AS f_ident,
+split_part(split_part(split_part(u[17:], ' ', 2), '[', 2), ']', 1) AS f_pid, ltrim(split_part(substr(u, position(']: ' IN u) + 3), chr(10), 1), ' ') AS f_message
+FROM (SELECT *, CASE WHEN t[1:1] = '<' THEN substr(t, position('>' IN t) + 1) ELSE t END AS u FROM {_TEXT}) AS y WHERE regexp_matches(u, '^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ 0-9][0-9] [0-9:]+ ') AND NOT contains(u, chr(10)) AND NOT contains(u, chr(13))
+""")
+_AUDIT = ", ".join(rf"""regexp_extract_all(raw_data, '\s{k}="((?:[^"\\]|\\.)*)"', 1)[-1] AS f_{k}""" for k in shipper.AUDIT_FIELDS)
+_parsed("audit_parse", shipper.audit, rf"SELECT source, seq, split_part(raw_data, ' ', 1) AS f_time, {_AUDIT} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '^\S+ AUDIT:')")
 
 
-_parsed("klog_parse", shipper.klog, _extract(shipper.KLOG, ["severity", "time", "pid", "source", "message"], shipper.KLOG))
-_parsed("salt_parse", shipper.salt, _extract(shipper.SALT, ["time", "severity", "message"], shipper.SALT))
-_parsed("docker_parse", shipper.docker, _extract(shipper.DOCKER, ["time", "severity", "message", "error", "status_code"], shipper.DOCKER))
-_parsed("syslog_parse", shipper.syslog, _extract(shipper.SYSLOG, ["pri", "time", "host", "ident", "pid", "message"], shipper.SYSLOG))
-_AUDIT = ", ".join(rf"""regexp_extract_all(raw_data, '\s{k}="((?:[^"\\]|\\.)*)"', 1)[-1] AS f_{k}""" for k in shipper.AUDIT_FIELDS)
-_parsed("audit_parse", shipper.audit, rf"SELECT source, seq, regexp_extract(raw_data, '^(\S+) AUDIT:', 1) AS f_time, {_AUDIT} FROM loglines WHERE NOT structured AND regexp_matches(raw_data, '^\S+ AUDIT:')")
+@query("salt_parse", f"""
+SELECT source, seq, t[1:19] AS f_time, rtrim(split_part(split_part(t, '][', 2), ']', 1), ' ') AS f_severity, regexp_replace(substr(t, position('][' IN t) + 2), '^[^]]*[]][[][0-9]*[]] ', '') AS f_message
+FROM {_TEXT} WHERE regexp_matches(t, '^[0-9-]+ [0-9:]+,[0-9]+ [[][^]]*[]][[][A-Z]+ *[]][[][0-9]+[]] ') AND NOT contains(t, chr(10)) AND NOT contains(t, chr(13))
+""")
+def salt_parse(spark, d):
+    # the salt programs' layout, which has no process id
+    text = F.regexp_replace("raw_data", r"^(\S+ \S+ \[[^\]]*\]\[[^\]]*\])\[\d+\] ", "$1 ")
+    x = logs(spark, d).where("NOT structured").select("source", "seq", shipper.salt(text).alias("_p")).where("_p IS NOT NULL")
+    return x.select("source", "seq", *[F.col(f"_p.{n}").alias(f"f_{n}") for n in ("time", "severity", "message")])
 
 
-@query("container_parse", "SELECT source, seq, json_extract_string(j, '$.log') AS log, json_extract_string(j, '$.stream') AS stream FROM (SELECT *, CASE WHEN json_valid(raw_data) THEN raw_data::JSON END AS j FROM loglines) AS x WHERE structured AND json_extract_string(j, '$.log') IS NOT NULL")
+@query("container_parse", "SELECT source, seq, json_extract_string(j, '$.log') AS log, json_extract_string(j, '$.stream') AS stream, CAST(floor(epoch(TRY_CAST(json_extract_string(j, '$.time') AS TIMESTAMPTZ))) AS BIGINT) AS ts FROM (SELECT *, CASE WHEN json_valid(raw_data) THEN raw_data::JSON END AS j FROM loglines) AS x WHERE structured AND json_extract_string(j, '$.log') IS NOT NULL")
 def container_parse(spark, d):
     x = logs(spark, d).where("structured").select("source", "seq", shipper.container(F.col("raw_data")).alias("p")).where("p.log IS NOT NULL")
-    return x.select("source", "seq", "p.log", "p.stream")
+    return x.select("source", "seq", "p.log", "p.stream", "p.ts")
 
 
-@query("route_records")
+@query("route_records", f"""
+WITH n AS (SELECT x.source, x.seq, x.ts, json_extract_string(x.j, '$.kubernetes.pod_name') AS pod, n.type, n.atom, n.fullkey, n.key FROM {_OBJECTS} WHERE json_extract_string(x.j, '$.kubernetes.pod_name') IS NOT NULL),
+w AS (SELECT source, seq, unnest(string_split(trim(regexp_replace(json_extract_string(atom, '$'), '\\s+', ' ', 'g'), ' '), ' ')) AS term FROM n WHERE type = 'VARCHAR' AND regexp_matches(fullkey, '^[^\\[]*(\\[[0-9]+\\])?$') AND NOT (contains(fullkey, '[') AND NOT ends_with(fullkey, ']'))),
+k AS (SELECT source, seq, any_value(ts) AS ts, any_value(pod) AS pod, count(*) FILTER (WHERE type <> 'OBJECT' AND NOT contains(fullkey, '[')) AS n_keys FROM n GROUP BY source, seq),
+c AS (SELECT source, seq, count(*) AS n_terms FROM w WHERE term <> '' AND NOT list_contains({_STOPPED}, term) GROUP BY source, seq)
+SELECT pod AS source, ts, CAST(coalesce(n_terms, 0) AS INT) AS n_terms, CAST(n_keys AS INT) AS n_keys FROM k LEFT JOIN c USING (source, seq)
+""")
 def route_records(spark, d):
     return shipper.routed(logs(spark, d).where("structured"), "raw_data", F.col("ts"), stop_words(spark)).select("source", "ts", F.size("indexes").alias("n_terms"), F.size("json_keys").alias("n_keys"))
 
@@ -263,7 +357,17 @@ def multiline_group(spark, d):
 # --- problems 2, 5, 6 and 7 ---
 
 
-@query("p2_found")
+@query("p2_found", """
+WITH RECURSIVE s AS (SELECT row_number() OVER () AS line, source, seq, raw_data::JSON AS j FROM loglines WHERE structured AND json_valid(raw_data)),
+t AS (SELECT s.line, s.source, s.seq, n.id, n.parent AS up, n.key, n.type FROM s, json_tree(s.j) AS n WHERE n.type IN ('OBJECT', 'ARRAY')),
+r AS (
+  SELECT line, source, seq, id, up, type, '' AS pointer, '' AS below FROM t WHERE up IS NULL
+  UNION ALL
+  SELECT t.line, t.source, t.seq, t.id, t.up, t.type, r.pointer || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), CASE WHEN r.type = 'ARRAY' AND t.type = 'OBJECT' THEN r.pointer || '/' || t.key ELSE r.below END
+  FROM r JOIN t ON t.line = r.line AND t.up = r.id
+)
+SELECT c.source, c.seq, c.pointer, p.below AS parent FROM r AS c JOIN r AS p ON p.line = c.line AND p.id = c.up WHERE c.type = 'OBJECT' AND p.type = 'ARRAY'
+""")
 def p2_found(spark, d):
     lines = logs(spark, d).where("structured")
     return nested.nested_objects(lines, "raw_data", ["source", "seq"]).select("source", "seq", "pointer", "parent")

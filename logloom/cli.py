@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import argparse
-import json
 import re
 import time
 
 from pyspark.sql import SparkSession
 
 from logloom.plans.planner import Request
-from logloom.plans.render import answer
+from logloom.plans.render import pieces
 from logloom.server import server
 from logloom.sources import store
 from logloom.streaming.live import tail
@@ -56,15 +55,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         q = tail(spark, args.store, args.apps).writeStream.foreachBatch(show)
         (q.trigger(availableNow=True) if args.once else q).start().awaitTermination()
         return
-    logs = store.read(spark, args.store)
     if args.what == "apps":
         print("App Names")
-        for r in store.sources(logs).orderBy("source").toLocalIterator():
+        for r in store.sources(store.read(spark, args.store)).orderBy("source").toLocalIterator():
             print(r.source)
         return
     now = int(time.time())
     request = Request(now - args.since if args.since else 0, now if args.since else 0, partitions=tuple(args.apps))
-    print(json.dumps(json.loads(answer(logs, args.query, request)), indent=2, ensure_ascii=False))
+    for text in pieces(store.search(spark, args.store, args.query, request), args.query):
+        print(text)
 
 
 if __name__ == "__main__":

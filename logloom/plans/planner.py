@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,19 +42,25 @@ def near(value: str, distance: int) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def selected(s: Selection, distance: int) -> Column:
-    if s.key is None:
-        return near(s.value, distance)
-    return F.coalesce(F.array_contains("json_keys", s.key), F.lit(False)) & near(s.value, distance)
+def holds(terms: Sequence[str]) -> Column:
+    """Some index term is one of those listed."""
+    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    return F.coalesce(F.arrays_overlap("indexes", listed), F.lit(False))
 
 
-def scan(logs: DataFrame, q: Query, r: Request) -> DataFrame:
+def selected(s: Selection, distance: int, terms: Sequence[str] | None = None) -> Column:
+    """The lines a selection takes; ``terms`` are those near its value, where an index has told them."""
+    hit = near(s.value, distance) if terms is None else holds(terms)
+    return hit if s.key is None else F.coalesce(F.array_contains("json_keys", s.key), F.lit(False)) & hit
+
+
+def scan(logs: DataFrame, q: Query, r: Request, terms: Sequence[str] | None = None) -> DataFrame:
     """The lines a query looks at: sources, time range and selection."""
     sources = q.sources or r.partitions
     if sources:
         logs = logs.where(F.col("source").isin(list(sources)))
     logs = in_range(logs, r.start_ts, r.end_ts)
-    return logs.where(selected(q.selection, q.distance)) if q.selection else logs
+    return logs.where(selected(q.selection, q.distance, terms)) if q.selection else logs
 
 
 def rows(lines: DataFrame, q: Query, r: Request) -> DataFrame:
@@ -94,8 +101,8 @@ def aggregated(lines: DataFrame, q: Query) -> DataFrame:
     return v.groupBy(F.col("_g").alias(by)).agg(agg("_v").alias(a.alias))
 
 
-def plan(logs: DataFrame, query: str | Query, request: Request = Request()) -> DataFrame:  # noqa: B008
+def plan(logs: DataFrame, query: str | Query, request: Request = Request(), terms: Sequence[str] | None = None) -> DataFrame:  # noqa: B008
     """The result of a query as a DataFrame: aggregates ignore limit, order and offset."""
     q = parse(query) if isinstance(query, str) else query
-    lines = scan(logs, q, request)
+    lines = scan(logs, q, request, terms)
     return aggregated(lines, q) if q.aggregate else rows(lines, q, request)

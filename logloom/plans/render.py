@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -28,27 +29,39 @@ def _entry(text: str | None):
     return v if isinstance(v, dict | list) else text
 
 
-def render(df: DataFrame, query: str | Query) -> str:
-    """The envelope of a query's result. Results are collected: they are limited rows or groups.
+def pieces(df: DataFrame, query: str | Query) -> Iterator[str]:
+    """The envelope of a query's result in pieces. Rows come partition by partition, so that a
+    result of any length passes through; only one partition of it is in the driver at a time.
 
     Counts and averages are strings, frequencies numbers; a grouped aggregate without groups is
     one object of empty strings.
     """
     q = parse(query) if isinstance(query, str) else query
-    got, a = df.collect(), q.aggregate
-    if a is None:
-        data = [{"ts": r.ts, "entry": _entry(r.entry), "source": r.source} for r in got]
-    elif a.kind == "distinct":
-        data = [r[0] for r in got]
-    elif a.kind == "distinct_count":
-        data = [{r[0]: r[1]} for r in got]
-    else:
+    a = q.aggregate
+
+    def data(r):
+        if a is None:
+            return {"ts": r.ts, "entry": _entry(r.entry), "source": r.source}
+        if a.kind == "distinct":
+            return r[0]
+        if a.kind == "distinct_count":
+            return {r[0]: r[1]}
         text = lambda v: number(float(v)) if a.kind == "avg" else str(v)
-        if a.by is None:
-            data = [{a.alias: text(r[0])} for r in got]
-        else:
-            data = [{a.alias: text(r[1]), a.by: r[0]} for r in got] or [{a.alias: "", a.by: ""}]
-    return json.dumps({"data": data}, ensure_ascii=False)
+        return {a.alias: text(r[0])} if a.by is None else {a.alias: text(r[1]), a.by: r[0]}
+
+    n = 0
+    yield '{"data": ['
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        yield (", " if n else "") + json.dumps(data(r), ensure_ascii=False)
+        n += 1
+    if not n and a is not None and a.by is not None:
+        yield json.dumps({a.alias: "", a.by: ""}, ensure_ascii=False)
+    yield "]}"
+
+
+def render(df: DataFrame, query: str | Query) -> str:
+    """The whole envelope as one text: for limited rows and groups."""
+    return "".join(pieces(df, query))
 
 
 def answer(logs: DataFrame, query: str, request: Request = Request()) -> str:  # noqa: B008

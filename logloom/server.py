@@ -5,14 +5,16 @@ A thin front for interactive use; bulk ingest goes through ``streaming.live``.
 
 from __future__ import annotations
 
+import itertools
 import json
 import threading
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
 
 from logloom.plans.planner import Request
-from logloom.plans.render import answer
+from logloom.plans.render import pieces
 from logloom.schema import PUSHED
 from logloom.sources import store
 
@@ -47,10 +49,10 @@ class Store:
             with self.lock:
                 store.ingest(self.spark.createDataFrame(rows, schema), self.path, ["place"])
 
-    def query(self, body) -> str:
+    def query(self, body) -> Iterator[str]:
         r = _fields(body, REQUEST)
-        logs = store.read(self.spark, self.path)
-        return answer(logs, r["query"], Request(r["start_ts"], r["end_ts"], r["count"], r["offset"], tuple(r["partitions"]), r["forward"]))
+        request = Request(r["start_ts"], r["end_ts"], r["count"], r["offset"], tuple(r["partitions"]), r["forward"])
+        return pieces(store.search(self.spark, self.path, r["query"], request), r["query"])
 
     def partitions(self) -> str:
         names = [r.source for r in store.sources(store.read(self.spark, self.path)).orderBy("source").collect()]
@@ -70,6 +72,21 @@ def server(spark: SparkSession, path: str, port: int = 5180) -> ThreadingHTTPSer
             self.end_headers()
             self.wfile.write(data)
 
+        def stream(self, f) -> None:
+            """Pieces of text as they come; what fails before the first is the client's answer."""
+            try:
+                texts = f()
+                head = [next(texts), next(texts)]
+            except Exception as e:  # noqa: BLE001
+                self.reply(406, str(e).split("\n")[0], "text/plain")
+                return
+            self.send_response(200)
+            for k, v in {"Content-Type": "application/json", "Access-Control-Allow-Origin": "*", "Connection": "close"}.items():
+                self.send_header(k, v)
+            self.end_headers()
+            for text in itertools.chain(head, texts):
+                self.wfile.write(text.encode())
+
         def attempt(self, f, code: int = 200) -> None:
             try:
                 self.reply(code, f())
@@ -91,7 +108,7 @@ def server(spark: SparkSession, path: str, port: int = 5180) -> ThreadingHTTPSer
             if self.path == "/push":
                 self.attempt(lambda: own.push(self.body()) or "ok", 201)
             elif self.path == "/query":
-                self.attempt(lambda: own.query(self.body()))
+                self.stream(lambda: own.query(self.body()))
             else:
                 self.reply(404, "", "text/plain")
 

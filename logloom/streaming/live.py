@@ -8,28 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.schema import COLUMNS, LINE, PUSH
-from logloom.sources.push import derived, lines_of
-from logloom.sources.store import day_of
+from logloom.runtime import cut
+from logloom.schema import LINE, PUSH
+from logloom.sources import store
+from logloom.sources.push import lines_of
 
 
 def push_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """Pushes from JSON files as they land in a folder; ``files`` per batch hold a burst back."""
-    return spark.readStream.schema(PUSH).option("maxFilesPerTrigger", files).json(path)
+    """Pushes from JSON files as they land in a folder, with the time and name of their file;
+    ``files`` per batch hold a burst back."""
+    x = spark.readStream.schema(PUSH).option("maxFilesPerTrigger", files).json(path)
+    return x.select("*", F.col("_metadata.file_modification_time").alias("landed_at"), F.col("_metadata.file_path").alias("file"))
 
 
 def ingest_stream(pushes: DataFrame, path: str, checkpoint: str, index: bool = True) -> StreamingQuery:
     """Append the lines of a stream of pushes to the store, each batch once.
 
-    seq grows with the batch and, within it, with the rows' place; a batch that is run again
-    replaces what it wrote, in a folder of its own.
+    Lines are numbered by source in order of their file's time and name and of their place, going
+    on from the batches before; a batch that is run again replaces what it wrote, numbers included.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        x = lines_of(batch).withColumn("seq", F.lit(number << 33) + F.monotonically_increasing_id() + 1)
-        x = (derived(x) if index else x).select(*COLUMNS)
-        x = x.withColumn("event_date", day_of(F.col("ts")))
-        x.write.mode("overwrite").partitionBy("source", "event_date").parquet(f"{path}/batch={number}")
+        lines = cut(lines_of(batch.withColumn("_row", F.monotonically_increasing_id())))
+        store.ingest(lines, path, ["landed_at", "file", "_row", "place"], index, str(number))
 
     return pushes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -80,10 +80,52 @@ def test_reindex(log_table):
     assert plan(store.reindex(t), q).count() == 1
 
 
-def test_term_index(log_table):
-    t = log_table([{"indexes": ["money", "money", None]}, {"indexes": ["honey"]}, {"indexes": None}])
-    hit = store.lookup(store.term_index(t), t, "money", 1)
-    assert sorted(r.seq for r in hit.collect()) == [1, 2]
+def test_search_by_terms_and_files(spark, tmp_path, log_table):
+    path = str(tmp_path / "s")
+    day = 86400
+    rows = [{"source": s, "ts": d * day + i, "seq": d * 10 + i, "indexes": [w, w, None]} for s in "ab" for d in range(3) for i, w in enumerate(["money", "tree", "honey"])]
+    rows[0]["indexes"] = None
+    store.write(log_table(rows), path)
+    store.write(log_table([{"source": "c", "ts": 5, "seq": 1, "indexes": ["monet"]}]), path)
+    assert {(r.term, r.source, r.event_date.day) for r in store.near_terms(spark, path, "money", 1).collect()} == {(t, s, d + 1) for s in "ab" for d in range(3) for t in ("money", "honey") if (t, s, d) != ("money", "a", 0)} | {("monet", "c", 1)}
+    for q, r in (('message="money" | distance 1', Request()), ('message="nothing"', Request()), ('source=b | message="tree"', Request(day, 2 * day)), ("", Request(day, day + 1)), ("limit 3", Request(5, 5)), ('message="monet" | count(x) as n', Request())):
+        whole = plan(store.read(spark, path), q, r).collect()
+        assert store.search(spark, path, q, r).collect() == whole, q
+    files = store.files_of(spark, path, 2 * day, 3 * day, ("a",))
+    assert len(files) >= 1 and all("source=a" in f and "event_date=1970-01-03" in f for f in files)
+    assert store.files_of(spark, path, 0, 0) is None and store.files_of(spark, path, -9, -1) == []
+    # a day that goes takes its bounds and terms along
+    store.drop_days(spark, path, 3 * day, day + day // 2)
+    assert {r.event_date.day for r in store.side(spark, path, "_terms").collect()} == {r.event_date.day for r in store.read(spark, path).collect()} == {2, 3}
+    store.compact(spark, path)
+    assert store.search(spark, path, 'message="money" | distance 1').count() == 8 and store.side(spark, path, "_files").agg({"n_lines": "sum"}).first()[0] == 12
+
+
+def test_what_a_broken_write_leaves(spark, tmp_path, log_table):
+    path = str(tmp_path / "s")
+    store.write(log_table([{"ts": 1, "raw_data": "running wild"}]), path, "whole")
+    store.write(log_table([{"ts": 2, "raw_data": "running late"}]), path, "half")
+    import shutil
+
+    shutil.rmtree(f"{path}/_terms/batch=half")
+    shutil.rmtree(f"{path}/_seq/batch=half")
+    assert store.reindex_missing(spark, path) == ["batch=half"] and store.reindex_missing(spark, path) == []
+    assert store.search(spark, path, 'message="run" | distance 1').select("ts").collect() == [(2,)]
+
+
+def test_every():
+    import threading
+
+    ran, stop = [], threading.Event()
+
+    def job():
+        ran.append(1)
+        if len(ran) == 3:
+            stop.set()
+        raise ValueError("one run fails")
+
+    store.every(0.01, job, stop).join(10)
+    assert len(ran) == 3
 
 
 @pytest.mark.parametrize(

@@ -32,5 +32,20 @@ def test_ingest_then_tail(spark, tmp_path, capsys):
     assert "APP: s1, ts: 1970-01-01 00:00:10, line: x1" in capsys.readouterr().out
 
 
+def test_numbers_of_batches(spark, tmp_path):
+    # two batches of two files each: numbers are unique and dense in every source
+    inbox, path = tmp_path / "inbox", str(tmp_path / "store")
+    inbox.mkdir()
+    for b in range(2):
+        for f in range(2):
+            (inbox / f"{b}{f}.json").write_text("".join(json.dumps({"source": s, "lines": [line(i, f"{b}{f}{i}") for i in range(300)]}) + "\n" for s in ("a", "b")))
+        live.ingest_stream(live.push_stream(spark, str(inbox)), path, str(tmp_path / "ck")).awaitTermination()
+    got = store.read(spark, path).collect()
+    for s in ("a", "b"):
+        assert sorted(r.seq for r in got if r.source == s) == list(range(1, 1201))
+    first = {r.raw_data[0] for r in got if r.seq <= 600}
+    assert first == {"0"}
+
+
 def test_durations():
     assert cli.seconds("1h30m") == 5400 and cli.seconds("90s") == 90
