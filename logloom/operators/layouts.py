@@ -27,6 +27,8 @@ ANSI = r"\x1B\[[0-9;]*[A-Za-z]"
 HEAD = 8
 #: A partition with at least this share of constant positions isn't split by bijections.
 GOOD = 0.6
+#: Patterns that are named in the query; where leaves show more, each line brings its own.
+NAMED = 128
 #: Of a one-to-many relation, the many side is variable above this share of distinct tokens per line.
 VARIABLE = 0.5
 
@@ -42,8 +44,8 @@ LEVELS = {
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
-# kinds of what a token holds, as Greek letters (which texts lose before): date, time, zone, day with
-# month name and time, month name, level, single capital, word
+# kinds of what a token holds, as Greek letters: date, time, zone, day with month name and time, month
+# name, level, single capital, word
 _MONTH, _LEVEL = "|".join(MONTHS), "|".join(w for ws in LEVELS.values() for w in ws if len(w) > 1)
 KINDS = [
     (r"(?<![\p{L}#])#/(?:" + _MONTH + r")/#:#:#:#", "κ"),
@@ -54,27 +56,30 @@ KINDS = [
     (r"(?<![\p{L}#])(?:" + _MONTH + r")(?![\p{L}#=])", "μ"),
     (r"(?<![\p{L}#_.-])(?i:" + _LEVEL + r")(?![\p{L}#_.=-])", "λ"),
     (r"(?<![\p{L}#_.-])\p{Lu}(?![\p{L}_.=-])", "α"),
-    (r"(?:(?![δτζκμλα])[\p{L}_$@])(?:(?![δτζκμλα])[\p{L}_$@#.-])*+(?![=])", "ω"),
+    (r"[\p{L}_$@][\p{L}_$@#.-]*+(?!=)", "ω"),
 ]
 
 
 def first_line(text: Column) -> Column:
     """The first line without terminal decoration."""
-    return F.regexp_replace(F.regexp_extract(text, r"^[^\r\n]*", 0), ANSI, "")
+    return F.regexp_replace(F.substring_index(F.substring_index(text, "\n", 1), "\r", 1), ANSI, "")
 
 
 def signature(line: Column) -> Column:
     """The line with digit runs as # and single spaces, none before a closing bracket."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+(?=\])|(\s)\s*", "$1"))
+    sig = F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+(?=\])", "")
+    return F.trim(F.regexp_replace(sig, r"\s{2,}|[^\S ]", " "))
 
 
 def kinds(sig: Column) -> Column:
     """The kinds of a signature's first tokens, punctuation and the names of key=value kept."""
-    letters = "δτζκμλαω"
-    out = F.translate(F.array_join(F.slice(F.split(sig, " "), 1, HEAD), " "), letters, "x" * len(letters))
-    for pattern, letter in KINDS:
-        out = F.regexp_replace(out, pattern, letter)
-    return F.split(out, " ")
+    out = F.array_join(F.slice(F.split(sig, " "), 1, HEAD), " ")
+    # in between the kinds are digits, of which a signature has none
+    greek, digits = "δτζκμλαω", "12345678"
+    coded = str.maketrans(greek, digits)
+    for pattern, kind in KINDS:
+        out = F.regexp_replace(out, pattern.translate(coded), kind.translate(coded))
+    return F.split(F.translate(out, digits, greek), " ")
 
 
 def tokens() -> Column:
@@ -410,9 +415,12 @@ def _month(name: Column) -> Column:
     return F.when(at > 0, F.lpad(at.cast("string"), 2, "0")).otherwise(name)
 
 
-def slots(line: Column, pattern: Column, cutter: Column) -> Column:
-    """The texts of a line's slots in order of ``SLOTS``; null where it doesn't fit its leaf's pattern."""
-    out = F.regexp_replace(line, pattern, cutter)
+def slots(line: Column, pattern: Column, cutter: Column, named: list[tuple[str, str]]) -> Column:
+    """The texts of a line's slots in order of ``SLOTS``; null where it doesn't fit its leaf's pattern.
+    Patterns that are ``named`` are compiled once, others whenever they change from line to line."""
+    out = F.lit(None).cast("string") if named else F.regexp_replace(line, pattern, cutter)
+    for p, c in named:
+        out = F.when(pattern == p, F.regexp_replace(line, F.lit(p), F.lit(c))).otherwise(out)
     return F.when(out.startswith("\x02"), F.split(F.substring(out, 2, 1 << 30), "\x01", len(SLOTS)))
 
 
@@ -449,12 +457,14 @@ def heads(rows: DataFrame) -> DataFrame:
     """
     some = rows.where(F.col("line").rlike(r"\d:\d|\d{9}")).withColumn("sig", signature(F.col("line")))
     sigs, cutters = leaves(some.select("line"))
-    laid = sigs.join(cutters.where("pattern IS NOT NULL").select("part", "pattern", "cutter"), "part")
+    cutters = cutters.where("pattern IS NOT NULL").select("part", "pattern", "cutter")
+    named = [(r.pattern, r.cutter) for r in cutters.select("pattern", "cutter").distinct().limit(NAMED + 1).collect()]
+    laid = sigs.join(cutters, "part")
     laid = laid.select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), "pattern", "cutter")
     keyed = some.withColumns({"_a": F.xxhash64("sig"), "_b": F.xxhash64(F.lit(1), "sig")}).drop("sig")
     out = keyed.join(laid, ["_a", "_b"])
     # the generator keeps the optimizer from copying the slots' patterns into each of their uses
-    out = out.withColumn("_got", F.explode(F.array(slots(F.col("line"), F.col("pattern"), F.col("cutter"))))).where("_got IS NOT NULL")
+    out = out.withColumn("_got", F.explode(F.array(slots(F.col("line"), F.col("pattern"), F.col("cutter"), named if len(named) <= NAMED else [])))).where("_got IS NOT NULL")
     return out.withColumn("f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_got", "pattern", "cutter")
 
 
