@@ -387,10 +387,8 @@ def templates(found: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _level(word: Column) -> Column:
-    out = F.lit("")
-    for name, words in LEVELS.items():
-        out = F.when(F.lower(word).isin(words), name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for name, words in LEVELS.items() for w in words for x in (w, name)])
+    return F.coalesce(F.try_element_at(known, F.lower(word)), F.lit(""))
 
 
 def _priority(digits: Column) -> Column:
@@ -415,13 +413,14 @@ def _month(name: Column) -> Column:
     return F.when(at > 0, F.lpad(at.cast("string"), 2, "0")).otherwise(name)
 
 
-def slots(line: Column, pattern: Column, cutter: Column, named: list[tuple[str, str]]) -> Column:
-    """The texts of a line's slots in order of ``SLOTS``; null where it doesn't fit its leaf's pattern.
-    Patterns that are ``named`` are compiled once, others whenever they change from line to line."""
+def cut_up(line: Column, pattern: Column, cutter: Column, named: list[tuple[str, str]]) -> Column:
+    """A line by its leaf's pattern: the mark, then its slots in order of ``SLOTS``; the line itself where
+    it doesn't fit. Patterns that are ``named`` are compiled once, others whenever they change from
+    line to line."""
     out = F.lit(None).cast("string") if named else F.regexp_replace(line, pattern, cutter)
     for p, c in named:
         out = F.when(pattern == p, F.regexp_replace(line, F.lit(p), F.lit(c))).otherwise(out)
-    return F.when(out.startswith("\x02"), F.split(F.substring(out, 2, 1 << 30), "\x01", len(SLOTS)))
+    return out
 
 
 def fields(got: Column, ts: Column) -> Column:
@@ -463,9 +462,11 @@ def heads(rows: DataFrame) -> DataFrame:
     laid = laid.select(F.xxhash64("sig").alias("_a"), F.xxhash64(F.lit(1), "sig").alias("_b"), "pattern", "cutter")
     keyed = some.withColumns({"_a": F.xxhash64("sig"), "_b": F.xxhash64(F.lit(1), "sig")}).drop("sig")
     out = keyed.join(laid, ["_a", "_b"])
-    # the generator keeps the optimizer from copying the slots' patterns into each of their uses
-    out = out.withColumn("_got", F.explode(F.array(slots(F.col("line"), F.col("pattern"), F.col("cutter"), named if len(named) <= NAMED else [])))).where("_got IS NOT NULL")
-    return out.withColumn("f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_got", "pattern", "cutter")
+    # the generators keep the optimizer from copying an expression into each of its uses
+    once = lambda df, name, c: df.withColumn(name, F.explode(F.array(c)))
+    out = once(out, "_cut", cut_up(F.col("line"), F.col("pattern"), F.col("cutter"), named if len(named) <= NAMED else [])).where(F.col("_cut").startswith("\x02"))
+    out = once(out, "_got", F.split(F.substring("_cut", 2, 1 << 30), "\x01", len(SLOTS)))
+    return once(out, "f", fields(F.col("_got"), F.col("ts"))).where("f.entry_ms IS NOT NULL").drop("_a", "_b", "_cut", "_got", "pattern", "cutter")
 
 
 def log_rows(lines: DataFrame) -> DataFrame:
