@@ -57,9 +57,12 @@ def present(v: Column, path: str) -> Column:
 
 
 def _canonical(number: Column) -> Column:
-    """Decimal text without a trailing .0 and without exponent (up to 38 digits)."""
-    wide = F.regexp_replace(number.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    plain = F.when(number.rlike("[eE]"), F.coalesce(wide, number)).otherwise(number)
+    """Decimal text without a trailing .0 and without exponent, however small or large."""
+    part = lambda i: F.regexp_extract(number, r"^(-?)(\d+)(?:\.(\d*?))?0*[eE]([+-]?\d+)$", i)
+    sign, whole, rest, e = part(1), part(2), part(3), part(4).try_cast("int")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - F.length(whole)), whole, rest)
+    large = F.when(e >= F.length(rest), F.concat(sign, whole, rest, F.repeat(F.lit("0"), e - F.length(rest)))).otherwise(F.concat(sign, whole, F.substring(rest, F.lit(1), e), F.lit("."), F.substring(rest, e + 1, F.length(rest))))
+    plain = F.when(number.rlike("[eE]"), F.when(e < 0, small).otherwise(large)).otherwise(number)
     return F.regexp_replace(plain, r"\.0+$", "")
 
 

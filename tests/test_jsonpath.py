@@ -42,9 +42,9 @@ def test_against_model(spark, docs):
 
 
 def test_scalars(spark):
-    v = ["1", "1.0", "1e3", "1.50", '"s"', "true", "null", "[1]", "{}", "1e20", "-0.5"]
+    v = ["1", "1.0", "1e3", "1.50", '"s"', "true", "null", "[1]", "{}", "1e20", "-0.5", "1e-15", "-2.5e-9", "1.25e30", "1234567.5e3"]
     df = spark.createDataFrame([(x,) for x in v], "t string").select(jsonpath.scalar_text(jsonpath.body(F.col("t"))).alias("s"))
-    assert [r.s for r in df.collect()] == ["1", "1", "1000", "1.5", "s", "true", "null", None, None, "100000000000000000000", "-0.5"]
+    assert [r.s for r in df.collect()] == ["1", "1", "1000", "1.5", "s", "true", "null", None, None, "100000000000000000000", "-0.5", "0.000000000000001", "-0.0000000025", "1250000000000000000000000000000", "1234567500"]
 
 
 def test_numeric(spark):
